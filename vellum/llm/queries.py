@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import canonical, leakage, packing, related_splits
+from vellum.llm import canonical, leakage, packing, related_splits, truncation
 from vellum.runtime import table
 
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": lambda s, d: canonical.found_entries(table(s, d, "figure_targets"), table(s, d, "authority_entries")),
         "p5_found": lambda s, d: related_splits.found_groups(table(s, d, "figure_targets")),
         "p5_splits": lambda s, d: related_splits.dealt_splits(table(s, d, "figure_targets")),
+        "p6_found": lambda s, d: truncation.found_cuts(table(s, d, "figure_targets"), table(s, d, "support_candidates")),
+        "p6_rates": lambda s, d: truncation.cut_rates(table(s, d, "figure_targets"), table(s, d, "support_candidates")),
         "p8_containers": lambda s, d: packing.packed(table(s, d, "documents")),
         "p8_report": lambda s, d: packing.packing_report(packing.packed(table(s, d, "documents"))),
         "p9_found": lambda s, d: leakage.found_leaks(table(s, d, "documents"), table(s, d, "eval_items")),
