@@ -1,3 +1,10 @@
 """vellum: a PySpark-native analytics engine for document-evidence corpora."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions sent to Python workers travel by value: executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
