@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import canonical, leakage, packing, related_splits, truncation
+from vellum.llm import canonical, language_crf, leakage, packing, related_splits, truncation
 from vellum.runtime import table
 
 
@@ -20,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_containers": lambda s, d: packing.packed(table(s, d, "documents")),
         "p8_report": lambda s, d: packing.packing_report(packing.packed(table(s, d, "documents"))),
         "p9_found": lambda s, d: leakage.found_leaks(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p10_found": lambda s, d: language_crf.found_languages(table(s, d, "documents")),
+        "p10_languages": lambda s, d: language_crf.document_languages(table(s, d, "documents")),
     }
 
 
