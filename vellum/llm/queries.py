@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import canonical, language_crf, leakage, packing, related_splits, truncation
+from vellum.llm import canonical, language_crf, leakage, packing, related_splits, split_overlap, truncation
 from vellum.runtime import table
 
 
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_splits": lambda s, d: related_splits.dealt_splits(table(s, d, "figure_targets")),
         "p6_found": lambda s, d: truncation.found_cuts(table(s, d, "figure_targets"), table(s, d, "support_candidates")),
         "p6_rates": lambda s, d: truncation.cut_rates(table(s, d, "figure_targets"), table(s, d, "support_candidates")),
+        "p7_found": lambda s, d: split_overlap.found_overlaps(table(s, d, "figure_targets"), table(s, d, "page_candidates")),
+        "p7_report": lambda s, d: split_overlap.overlap_report(table(s, d, "figure_targets"), table(s, d, "page_candidates")),
         "p8_containers": lambda s, d: packing.packed(table(s, d, "documents")),
         "p8_report": lambda s, d: packing.packing_report(packing.packed(table(s, d, "documents"))),
         "p9_found": lambda s, d: leakage.found_leaks(table(s, d, "documents"), table(s, d, "eval_items")),
