@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import canonical, language_crf, leakage, packing, related_splits, split_overlap, truncation
+from vellum.llm import canonical, language_crf, leakage, packing, related_splits, scan_noise, split_overlap, truncation
 from vellum.runtime import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": lambda s, d: scan_noise.found_noise(table(s, d, "page_specs"), table(s, d, "support_candidates")),
+        "p1_text": lambda s, d: scan_noise.repaired_text(table(s, d, "page_specs"), table(s, d, "support_candidates")),
         "p4_found": lambda s, d: canonical.found_entries(table(s, d, "figure_targets"), table(s, d, "authority_entries")),
         "p5_found": lambda s, d: related_splits.found_groups(table(s, d, "figure_targets")),
         "p5_splits": lambda s, d: related_splits.dealt_splits(table(s, d, "figure_targets")),
