@@ -28,8 +28,9 @@ from vellum.runtime import broadcast_if_small, cut
 SAME_SHAPE = ("ec", "q9g", "l1!|i", "0o", "5s", "@a", "†t")
 #: Characters that are read as several, by elementary strokes (after SAME_SHAPE).
 STROKES = (("m", "rri"), ("n", "ri"), ("d", "ci"), ("w", "vv"), ("u", "ii"), ("b", "ii"), ("6", "ii"), ("h", "ii"))
+#: Ligatures.
+LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
 #: Characters no word has inside, and what they stand for when nothing else is known.
-ODD = ("@01!5†6|", "aoliistbl")
 ODD_PLAIN = {"@": "a", "0": "o", "1": "l", "!": "i", "5": "s", "†": "t", "6": "b", "|": "l"}
 #: A form is misread when another of its skeleton is this many times as frequent, and itself at least LEAST_USES.
 TIMES, LEAST_USES = 8, 3
@@ -46,7 +47,8 @@ _TOKEN = r"[\p{L}0-9@!†|]+(?:[-'’][\p{L}0-9@!†|]+)*"
 
 def skeleton(word: Column) -> Column:
     """The word in elementary strokes."""
-    single = F.translate(F.lower(word), "".join(g[:-1] for g in SAME_SHAPE), "".join(g[-1] * (len(g) - 1) for g in SAME_SHAPE))
+    apart = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), LIGATURES, F.lower(word))
+    single = F.translate(apart, "".join(g[:-1] for g in SAME_SHAPE), "".join(g[-1] * (len(g) - 1) for g in SAME_SHAPE))
     return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), STROKES, single)
 
 
@@ -73,8 +75,8 @@ def classified_lines(records: DataFrame) -> DataFrame:
         lines.withColumn("t", t).withColumn("bare", bare)
         .withColumn("numbered", (F.col("bare") != F.col("t")) & F.col("bare").rlike(r"\p{L}{2}"))
         .withColumn("is_number", (F.col("full") > 1) & F.col("t").rlike(_PAGE_NUMBER))
-        .withColumn("eligible", (F.col("full") > 1) & ~F.col("is_number") & (F.length("bare") <= 70) & F.col("bare").rlike(r"\p{L}{3}.*\s.*\p{L}{2}") & ~F.col("bare").rlike(r"[.,;?!。，；、-]$"))
-        .withColumn("core", F.when(F.col("eligible"), skeleton(F.regexp_replace("bare", "[0-9]+", "#"))))
+        .withColumn("eligible", (F.col("full") > 1) & ~F.col("is_number") & (F.length("bare") <= 70) & F.col("bare").rlike(r"\p{L}{3}.*\s.*\p{L}{2}") & ~F.col("bare").rlike(r"[,;]|[.?!。，；、-]$"))
+        .withColumn("core", F.when(F.col("eligible"), skeleton(F.regexp_replace("bare", r"(?<![\p{L}@!†|])[0-9]+(?![\p{L}@!†|])", "#"))))
     )
     heads = (
         lines.where(F.col("eligible")).groupBy("source", "core")
@@ -118,11 +120,12 @@ def word_occurrences(bodies: DataFrame) -> DataFrame:
 
 def _odd(w: Column) -> Column:
     """Has a character inside that no word has, beside letters only (no years, ordinals or plate numbers)."""
-    return w.rlike(r"[@!†|]") | (w.rlike(r"[0156]") & w.rlike(r"^(?:\p{L}|['’-])*[0156](?:\p{L}|['’0156-])*$") & ~w.rlike(r"^[0-9]+(?:st|nd|rd|th|s|a|b|c|d|cm|mm|in|m|e|er|ten|x)?$") & (F.length(F.regexp_replace(w, r"[^\p{L}]", "")) >= 2))
+    return w.rlike(r"[@!†|ﬀﬁﬂﬃﬄ]") | (w.rlike(r"[0156]") & w.rlike(r"^(?:\p{L}|['’-])*[0156](?:\p{L}|['’0156-])*$") & ~w.rlike(r"^[0-9]+(?:st|nd|rd|th|s|a|b|c|d|cm|mm|in|m|e|er|ten|x)?$") & (F.length(F.regexp_replace(w, r"[^\p{L}]", "")) >= 2))
 
 
 def _plain(w: Column) -> Column:
-    return F.translate(w, "".join(ODD_PLAIN), "".join(ODD_PLAIN.values()))
+    apart = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), LIGATURES, w)
+    return F.translate(apart, "".join(ODD_PLAIN), "".join(ODD_PLAIN.values()))
 
 
 def vocabulary(occurrences: DataFrame) -> DataFrame:
