@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 
 def _late(events: DataFrame, at: str, watermark: str | None) -> DataFrame:
-    return events.withWatermark(at, watermark) if watermark and events.isStreaming else events
+    if not (watermark and events.isStreaming):
+        return events
+    # Watermarks need an instant; a timestamp without zone is read in the session's.
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, watermark)
 
 
 def windowed(events: DataFrame, at: str, width: str, keys: Sequence[str], value: str, watermark: str | None = None) -> DataFrame:
@@ -42,7 +45,7 @@ def replayed(events: DataFrame) -> DataFrame:
 def resumable(rows: DataFrame, keys: Sequence[str], at: str | None = None, delay: str = "1 hour") -> DataFrame:
     """First row per key of an append stream; with an event time, state older than ``delay`` is dropped."""
     if rows.isStreaming and at:
-        return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))
+        return _late(rows, at, delay).dropDuplicatesWithinWatermark(list(keys))
     return rows.dropDuplicates(list(keys))
 
 
