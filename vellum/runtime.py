@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from contextlib import contextmanager
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,16 +39,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def unconstrained(spark: SparkSession):
-    """For loops of joins over checkpoints: inferred constraints would otherwise pile up from round to round."""
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+class Shelf:
+    """Tables in the checkpoint folder, for loops.
+
+    A checkpoint keeps its plan's size estimate; estimates of joins multiply, so that after some rounds planning alone
+    takes minutes. A table that is written and read again has the size of its files. Tables that a later round replaces
+    are dropped at once.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.root = spark, f"{spark.sparkContext.getCheckpointDir()}/vellum-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for t in tables:
+            if path := self.paths.pop(id(t), None):
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
