@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.runtime import cut, unconstrained
+from vellum.runtime import Shelf, cut
 
 SPLITS = (("train", 0.75), ("val", 0.10), ("test", 0.15))
 #: Buckets of the two-level rank that deals roots; a rank never needs one task to see a whole band.
@@ -41,42 +41,42 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Contract ``edges`` (u, v) Borůvka-style: (roots: node, root), (forest: u, v).
 
     Weights are the edges' hashes (the edge itself breaks ties), so every component has one smallest outgoing edge and
-    the chosen edges close no cycle but the two-cycle of a mutual choice. Every round is cut with a checkpoint.
+    the chosen edges close no cycle but the two-cycle of a mutual choice. Every round is cut with written tables.
     """
-    with unconstrained(edges.sparkSession):
-        return _contracted(edges)
-
-
-def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    base = cut(
+    shelf = Shelf(edges.sparkSession)
+    base = shelf.put(
         edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
         .withColumn("w", F.struct(F.xxhash64("u", "v").alias("h"), F.col("u").alias("eu"), F.col("v").alias("ev")))
     )
-    roots = cut(base.select(F.col("u").alias("node")).union(base.select("v")).distinct().select("node", F.col("node").alias("root")))
+    roots = shelf.put(base.select(F.col("u").alias("node")).union(base.select("v")).distinct().select("node", F.col("node").alias("root")))
     live, forest = base, None
     while not live.isEmpty():
         both = live.select("u", "v", "w").union(live.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-        chosen = cut(both.groupBy("u").agg(F.min(F.struct("w", "v")).alias("m")).select("u", F.col("m.v").alias("v"), F.col("m.w").alias("w")))
+        chosen = shelf.put(both.groupBy("u").agg(F.min(F.struct("w", "v")).alias("m")).select("u", F.col("m.v").alias("v"), F.col("m.w").alias("w")))
         picked = chosen.select(F.col("w.eu").alias("u"), F.col("w.ev").alias("v")).distinct()
         forest = picked if forest is None else forest.union(picked)
         # A mutual choice makes its smaller end the root; every other component points to its choice.
         mate = chosen.select(F.col("u").alias("v"), F.col("v").alias("back"))
-        point = cut(chosen.join(mate, "v").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p")))
+        point = shelf.put(chosen.join(mate, "v").select("u", F.when((F.col("back") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("p")))
+        held = point
         while True:  # pointer jumping: paths halve per step
             up = point.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            jumped = cut(point.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+            jumped = shelf.put(point.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
             moved = not jumped.where("moved").isEmpty()
-            point = jumped.select("u", "p")
+            shelf.drop(held)
+            held, point = jumped, jumped.select("u", "p")
             if not moved:
                 break
         at = point.select(F.col("u").alias("root"), F.col("p").alias("to"))
-        roots = cut(roots.join(at, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        stale = roots, live, held
+        roots = shelf.put(roots.join(at, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         left, right = point.select("u", F.col("p").alias("pu")), point.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        live = cut(
+        live = shelf.put(
             live.join(left, "u", "left").join(right, "v", "left")
             .select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v"), "w").where("u <> v")
             .groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("w").alias("w"))
         )
+        shelf.drop(*stale)
     return roots, forest if forest is not None else base.select("u", "v")
 
 
