@@ -5,7 +5,8 @@ there with how often they go on there, over all texts of the language. Orders ar
 text's own end left out, into log-odds of ending; a text below the threshold of its language and column was cut. Rare
 capitalised words (names) stand as one symbol, so that a context reaches beyond them, unless they are the last word and
 the beginning of a known one. A second run of the same model over word classes keeps rare but complete endings from
-being called cut. Field limits show as a pile of texts of one length that none of the source exceeds.
+being called cut. Field limits show as a pile of texts of one
+length that none of the source exceeds and of which many look cut by themselves.
 
 Counts are taken over all texts, in the JVM, aggregated map-side before the shuffle; the only broadcast is the set of
 words that stand in at least ``KEEP_SHARE`` of all texts, which by that share is bounded by words per text / share.
@@ -38,6 +39,8 @@ THRESHOLDS = {("", ""): -2.0}
 EXCUSED = 0.5
 #: Texts of exactly the greatest length that make it a limit, and texts a source needs.
 LIMIT_PILE, LIMIT_TEXTS = 3, 5
+#: Share of the texts of that length that must look cut by themselves: template texts pile up at a length, too.
+LIMIT_SHARE = 0.4
 
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[⺀-鿿]")
@@ -183,9 +186,18 @@ def judged_texts(targets: DataFrame, candidates: DataFrame, thresholds: dict | N
     rows = states.join(odds, ["lang", "chars", "classes"], "left").join(limits, [states.record_table.eqNullSafe(limits.record_table), states.source.eqNullSafe(limits.source)], "left").select(states["*"], "char_odds", "class_odds", "limit")
     # A word that is broken off, and Chinese, go by characters; a whole last word may also be excused by its class.
     evidence = F.when(~F.col("ends_known") | (F.col("lang") == "zh"), F.coalesce("char_odds", F.lit(0.0))).otherwise(F.when(F.col("class_odds") >= EXCUSED, F.col("class_odds")).otherwise(F.col("char_odds")))
-    at_limit = F.coalesce(F.col("n") == F.col("limit"), F.lit(False))
-    was_cut = F.col("torn") | (at_limit & (~F.col("stopped") | F.col("trailing"))) | (~F.col("stopped") & (F.col("trailing") | (evidence < at)))
-    return rows.withColumn("at_limit", at_limit).withColumn("was_cut", F.coalesce(was_cut, F.lit(False)))
+    own = F.coalesce(F.col("torn") | (~F.col("stopped") & (F.col("trailing") | (evidence < at))), F.lit(False))
+    rows = cut(
+        rows.withColumn("own", own).withColumn("piled", F.coalesce(F.col("n") == F.col("limit"), F.lit(False)))
+        .select("record_table", "record_id", "source", "lang", "n", "stopped", "torn", "trailing", "ends_known", "chars", "char_odds", "class_odds", "limit", "piled", "own")
+    )
+    limited = rows.where("piled").groupBy(F.col("record_table").alias("lt"), F.col("source").alias("ls")).agg(F.avg(F.col("own").cast("double")).alias("share")).where(F.col("share") >= LIMIT_SHARE).select("lt", "ls", F.lit(True).alias("limited"))
+    judged = rows.join(limited, F.col("record_table").eqNullSafe(F.col("lt")) & F.col("source").eqNullSafe(F.col("ls")), "left").withColumn("limited", F.coalesce("limited", F.lit(False)))
+    at_limit = F.col("piled") & F.col("limited")
+    return (
+        judged.withColumn("at_limit", at_limit).withColumn("limit", F.when(F.col("limited"), F.col("limit")))
+        .withColumn("was_cut", F.col("own") | (at_limit & (~F.col("stopped") | F.col("trailing")))).drop("lt", "ls", "limited", "piled", "own")
+    )
 
 
 def found_cuts(targets: DataFrame, candidates: DataFrame) -> DataFrame:
