@@ -111,7 +111,7 @@ def body_lines(lines: DataFrame) -> DataFrame:
 def word_occurrences(bodies: DataFrame) -> DataFrame:
     """(record_table, record_id, w, prev, next): lower-case words; a broken one holds the mark of its break."""
     broken = r"[\p{L}0-9@!†|'’␤-]+"
-    ws = F.transform(F.regexp_extract_all(F.lower("body"), F.lit(broken), F.lit(0)), lambda x: F.regexp_replace(x, r"^['’-]+|['’!|-]+$", ""))
+    ws = F.transform(F.regexp_extract_all(F.lower("body"), F.lit(broken), F.lit(0)), lambda x: F.regexp_replace(x, r"^['’-]+|['’|-]+$", ""))
     return bodies.withColumn("ws", ws).select(
         "record_table", "record_id",
         F.explode(F.expr("transform(ws, (x, i) -> struct(x AS w, coalesce(try_element_at(ws, if(i > 0, i, -size(ws) - 1)), '') AS prev, coalesce(try_element_at(ws, i + 2), '') AS next))")).alias("z"),
@@ -144,7 +144,8 @@ def repairs(bodies: DataFrame) -> DataFrame:
     doubt = (
         words.where(~han & (F.length("w") >= 2)).join(forms, "s", "left")
         .withColumn("forms", F.filter(F.coalesce("forms", F.array().cast("array<struct<c:bigint,w:string>>")), lambda f: (f["w"] != F.col("w")) & (f["c"] >= F.when(_odd(F.col("w")), LEAST_USES).otherwise(F.col("c") * TIMES))))
-        .where(_odd(F.col("w")) | ((F.size("forms") > 0) & (F.length("w") >= 3) & ~F.col("w").rlike("[0-9]")))
+        # A final '!' is only a letter when a word is known that it completes.
+        .where((_odd(F.col("w")) & ~F.col("w").endswith("!")) | ((F.size("forms") > 0) & (F.length("w") >= 3) & ~F.col("w").rlike("[0-9]")))
         .select("w", "forms")
     )
     doubt = cut(doubt)
