@@ -1,11 +1,13 @@
 """Greedy overlap suppression and nearest captions per page.
 
-Suppression depends on the order of what was kept, so it is a grouped fold; pages are small groups by nature (regions of
-one page), and repeated regions are made distinct before.
+Suppression depends on the order of what was kept, so it is a fold over rows sorted by page and score: one pass per
+partition, holding only the kept regions of the current page.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,24 +18,27 @@ from vellum.functions import geometry as G
 def suppress_overlaps(regions: DataFrame, page: str, key: str, box: str, score: str, threshold: float = 0.88) -> DataFrame:
     """(page, key): best score first, a region is dropped when it overlaps a kept one by ``threshold`` or more."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["s", "k"], ascending=[False, True], na_position="last")
-        kept: list = []
-        keys = []
-        for k, b in zip(pdf["k"], pdf["b"]):
-            for o in kept:
-                w, h = min(b[2], o[2]) - max(b[0], o[0]), min(b[3], o[3]) - max(b[1], o[1])
-                if w > 0 and h > 0:
-                    both = float(w) * h
-                    if both >= threshold * ((b[2] - b[0]) * float(b[3] - b[1]) + (o[2] - o[0]) * float(o[3] - o[1]) - both):
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by page and score; a page may go on in the next batch.
+        current, kept = None, []
+        for pdf in batches:
+            pages, keys = [], []
+            for p, k, b in zip(pdf["p"], pdf["k"], pdf["b"]):
+                if p != current:
+                    current, kept = p, []
+                own = float(b[2] - b[0]) * float(b[3] - b[1])
+                for o, size in kept:
+                    w, h = min(b[2], o[2]) - max(b[0], o[0]), min(b[3], o[3]) - max(b[1], o[1])
+                    if w > 0 and h > 0 and float(w) * h >= threshold * (own + size - float(w) * h):
                         break
-            else:
-                kept.append(b)
-                keys.append(k)
-        return pd.DataFrame({page: pdf["p"].iloc[0], key: keys})
+                else:
+                    kept.append((b, own))
+                    pages.append(p)
+                    keys.append(k)
+            yield pd.DataFrame({page: pages, key: keys})
 
     rows = regions.where(F.col(page).isNotNull() & G.valid(F.col(box))).select(F.col(page).alias("p"), F.col(key).alias("k"), F.col(box).alias("b"), F.col(score).cast("double").alias("s")).distinct()
-    return rows.groupBy("p").applyInPandas(fold, f"{page} string, {key} string")
+    return rows.repartition("p").sortWithinPartitions("p", F.desc_nulls_last("s"), "k").mapInPandas(fold, f"{page} string, {key} string")
 
 
 def nearest_caption(figures: DataFrame, captions: DataFrame, page: str, figure: str, caption: str, box: str, caption_box: str) -> DataFrame:
