@@ -158,3 +158,26 @@ def union_with_origin(parts: dict[str, DataFrame], key: str) -> DataFrame:
 def changes_between(before: Column, after: Column) -> Column:
     """struct(added, removed) of two arrays as sets, sorted."""
     return F.struct(F.array_sort(F.array_except(after, before)).alias("added"), F.array_sort(F.array_except(before, after)).alias("removed"))
+
+
+# -- sequences -----------------------------------------------------------------------------------------------------
+
+def matching_prefix(a: Column, b: Column) -> Column:
+    """How many leading elements two arrays share."""
+    same = F.transform(F.arrays_zip(a.alias("x"), b.alias("y")), lambda z: z["x"] == z["y"])
+    first = F.array_position(F.transform(same, lambda s: F.coalesce(s, F.lit(False))), F.lit(False))
+    return F.when(first > 0, first - 1).otherwise(F.size(same).cast("bigint"))
+
+
+def inserted_after_first(rows: DataFrame, key: str, order: Sequence[str], match: Column, values: dict[str, Column]) -> DataFrame:
+    """A copy of the first matching row of every key, with ``values`` set, inserted behind it; rows renumbered as ``step``."""
+    first = keep_first(rows.where(match), [key], [F.col(c) for c in order])
+    extra = first.withColumns(values).withColumn("_o", F.lit(1))
+    w = Window.partitionBy(key).orderBy(*order, "_o")
+    return rows.withColumn("_o", F.lit(0)).unionByName(extra).withColumn("step", F.row_number().over(w) - 1).drop("_o")
+
+
+def paired_delta(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """Pairs, mean difference, and how many fell and rose."""
+    b, a = F.col(before), F.col(after)
+    return rows.agg(F.count("*").alias("pairs"), F.round(F.avg(a - b), 6).alias("mean_delta"), F.count_if(a < b).alias("lower"), F.count_if(a > b).alias("higher"))

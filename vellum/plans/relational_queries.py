@@ -322,3 +322,54 @@ def s9_changes(t):
     none = F.array().cast("array<string>")
     c = R.changes_between(F.coalesce("used_by_runs", none), F.coalesce("cited_by_runs", none))
     return t.support_candidates.select("pair_id", "cited_by_runs", "used_by_runs").distinct().select("pair_id", F.array_join(c["added"], ",").alias("added"), F.array_join(c["removed"], ",").alias("removed"))
+
+
+# -- sequences and runs --------------------------------------------------------------------------------------------------
+
+@BOOK.query("d18_sequence_match", """
+WITH s AS (SELECT DISTINCT pair_id, coalesce(used_by_runs, []) AS g, coalesce(cited_by_runs, []) AS p FROM support_candidates)
+SELECT pair_id, CAST(len(list_filter(generate_series(1, least(len(g), len(p))), lambda i: g[1:i] = p[1:i])) AS BIGINT) AS prefix, g = p AS exact, coalesce(g[1] = p[1], false) AS first_equal FROM s""")
+def d18_sequence_match(t):
+    none = F.array().cast("array<string>")
+    s = t.support_candidates.select("pair_id", F.coalesce("used_by_runs", none).alias("g"), F.coalesce("cited_by_runs", none).alias("p")).distinct()
+    return s.select("pair_id", R.matching_prefix(F.col("g"), F.col("p")).cast("bigint").alias("prefix"), (F.col("g") == F.col("p")).alias("exact"), F.coalesce(F.try_element_at("g", F.lit(1)) == F.try_element_at("p", F.lit(1)), F.lit(False)).alias("first_equal"))
+
+
+@BOOK.query("c24_run_comparison", """
+WITH u AS (SELECT pair_id, field, unnest(used_by_runs) AS run FROM (SELECT DISTINCT pair_id, field, used_by_runs FROM support_candidates))
+SELECT field, count(*) AS pairs, count(*) FILTER (WHERE a > 0) AS base_a, count(*) FILTER (WHERE b > 0) AS sft_b, count(*) FILTER (WHERE c > 0) AS grpo_c, count(*) FILTER (WHERE a > 0 AND b > 0 AND c > 0) AS in_all
+FROM (SELECT pair_id, field, count(*) FILTER (WHERE run = 'base_a') AS a, count(*) FILTER (WHERE run = 'sft_b') AS b, count(*) FILTER (WHERE run = 'grpo_c') AS c FROM u GROUP BY 1, 2) GROUP BY field""")
+def c24_run_comparison(t):
+    u = t.support_candidates.select("pair_id", "field", "used_by_runs").distinct().select("pair_id", "field", F.explode("used_by_runs").alias("run"))
+    p = u.groupBy("pair_id", "field").pivot("run", ["base_a", "sft_b", "grpo_c"]).count()
+    has = {c: F.coalesce(F.col(c), F.lit(0)) > 0 for c in ("base_a", "sft_b", "grpo_c")}
+    return p.groupBy("field").agg(F.count("*").alias("pairs"), *[F.count_if(h).alias(c) for c, h in has.items()], F.count_if(has["base_a"] & has["sft_b"] & has["grpo_c"]).alias("in_all"))
+
+
+@BOOK.query("w21_inserted_rows", """
+WITH f AS (SELECT user_id, min(struct_pack(a := ts, b := event_id)) AS m FROM events WHERE event_type = 'error' GROUP BY user_id),
+x AS (SELECT e.user_id, e.ts, e.event_id, 0 AS o, e.event_type FROM events e UNION ALL SELECT e.user_id, e.ts, e.event_id, 1, 'inserted' FROM events e JOIN f ON e.user_id = f.user_id AND e.ts = f.m.a AND e.event_id = f.m.b)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id, o) - 1 AS step, event_type FROM x""")
+def w21_inserted_rows(t):
+    e = t.events.select("user_id", "ts", "event_id", "event_type")
+    return R.inserted_after_first(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error", {"event_type": F.lit("inserted")}).select("user_id", "step", "event_type")
+
+
+@BOOK.query("f22_focus_window", """
+SELECT DISTINCT doc_id, CASE WHEN strpos(text, 'bridge') > 0 THEN substring(text, greatest(strpos(text, 'bridge') - 40, 1), strpos(text, 'bridge') - greatest(strpos(text, 'bridge') - 40, 1) + 6 + 40) ELSE substring(text, 1, 80) END AS focus FROM documents WHERE text IS NOT NULL""")
+def f22_focus_window(t):
+    from vellum.functions import text as T
+
+    return t.documents.where("text IS NOT NULL").select("doc_id", T.around(F.col("text"), "bridge", 40).alias("focus")).distinct()
+
+
+@BOOK.query("d28_delta", f"""
+WITH a AS (SELECT task_id, count(*) FILTER (WHERE rule_label = 'support') * 1.0 / count(*) AS r FROM {SUP} WHERE candidate_kind = 'same_page_body' AND task_id IS NOT NULL GROUP BY 1),
+b AS (SELECT task_id, count(*) FILTER (WHERE rule_label = 'support') * 1.0 / count(*) AS r FROM {SUP} WHERE candidate_kind <> 'same_page_body' AND task_id IS NOT NULL GROUP BY 1)
+SELECT count(*) AS tasks, round(avg(b.r - a.r), 6) AS mean_delta, count(*) FILTER (WHERE b.r < a.r) AS lower, count(*) FILTER (WHERE b.r > a.r) AS higher FROM a JOIN b USING (task_id)""")
+def d28_delta(t):
+    s = _sup(t).where("task_id IS NOT NULL")
+    rate = F.avg(F.col("rule_label").eqNullSafe(F.lit("support")).cast("double"))
+    a = s.where("candidate_kind = 'same_page_body'").groupBy("task_id").agg(rate.alias("a"))
+    b = s.where("candidate_kind <> 'same_page_body'").groupBy("task_id").agg(rate.alias("b"))
+    return R.paired_delta(a.join(b, "task_id"), "a", "b").withColumnRenamed("pairs", "tasks")
