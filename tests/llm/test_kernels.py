@@ -142,6 +142,15 @@ def test_cut_texts(spark):
     assert {r["record_id"] for r in truncation.found_cuts(figures(spark, rows), none).collect()} == set(bad)
 
 
+def test_ellipsis_is_no_final_stop(spark):
+    rng, nouns = random.Random(1), ["river", "mountain", "pavilion", "footpath", "orchard", "terrace"]
+    rows = [(f"t{i}", None, f"f{i % 25}.pdf", None, f"Detail of the {rng.choice(nouns)} beside the {rng.choice(nouns)}, ink and colour on silk, City Museum") for i in range(500)]
+    bad = {"x1": "Detail of the river beside the mount...", "x2": "Detail of the pavilion beside the…", "x3": "Detail of the orchard beside the river, ink and colour on ...", "x4": "“Detail of the terrace beside the pav...”"}
+    rows += [(k, None, f"g{k}.pdf", None, v) for k, v in bad.items()]
+    none = spark.createDataFrame([], "pair_id string, source_file string, fragment_text string")
+    assert {r["record_id"] for r in truncation.found_cuts(figures(spark, rows), none).collect()} == set(bad)
+
+
 def test_field_limit(spark):
     rng = random.Random(2)
     nouns = ["river", "mountain", "pavilion", "footpath", "orchard", "terrace"]

@@ -12,7 +12,7 @@ Counts are taken over all texts, in the JVM, aggregated map-side before the shuf
 words that stand in at least ``KEEP_SHARE`` of all texts, which by that share is bounded by words per text / share.
 
 Defined results: null and blank texts or null keys are no records; repeated rows count once; a text that ends with a
-final stop is complete unless blanks follow it at the limit; ties and empty tables need no special case.
+final stop is complete unless blanks follow it at the limit; an ellipsis is no final stop, the text before it is judged; ties and empty tables need no special case.
 """
 
 from __future__ import annotations
@@ -45,7 +45,9 @@ LIMIT_SHARE = 0.4
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[⺀-鿿]")
 _PAGE_LINE = re.compile(r"\n[ \t]*(?:[\[(–—-]*\s*)?(?:[0-9lIO][0-9lIO ]*|[ivxlcdm]+|[IVXLCDM]+)(?:\s*[\])–—-]*)?\s*$")
-_STOP = re.compile(r"[.。!?！？…][\"”“»)）\]』」]*$")
+_STOP = re.compile(r"[.。!?！？][\"”“»)）\]』」]*$")
+#: A mark of omission, which stands where a text was cut as well as where it trails off.
+_ELLIPSIS = re.compile(r"\s*(?:[\[(（]\s*)?(?:\.{3,}|(?:\.\s){2,}\.|…+)[\"”“»)）\]』」\s]*$")
 _GERMAN = re.compile(r"\b(?:der|die|das|und|ist|nicht|Tafel|Abb|eine|dem|von)\b")
 
 STATE = "record_table string, record_id string, source string, lang string, n int, stopped boolean, torn boolean, trailing boolean, ends_known boolean, chars string, classes string"
@@ -117,8 +119,8 @@ def text_states(records: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for table, key, source, text in zip(b["record_table"], b["record_id"], b["source"], b["text"]):
-                normal, whole = normal_form(text, known, beginnings, lowered)
-                body = _PAGE_LINE.sub("", text)
+                body = _ELLIPSIS.sub("", _PAGE_LINE.sub("", text))
+                normal, whole = normal_form(body, known, beginnings, lowered)
                 lang = "zh" if _HAN.search(text) else "de" if len(_GERMAN.findall(text)) >= 2 else "en"
                 out.append((
                     table, key, source, lang, len(text), bool(_STOP.search(body.rstrip())), "�" in text.rstrip()[-2:],
