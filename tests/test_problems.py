@@ -40,6 +40,21 @@ def test_rename_by_values_alone_and_no_rename_by_chance(spark):
     assert changes(spark, [("a", a), ("c", c)]) == {("removed", "object_type", ""), ("added", "crop_path", "")}
 
 
+def test_flooding_propagates_from_equal_names():
+    field = lambda name, hist, keys=(): {"field": name, "kinds": ["string"], "hist": hist, "usual": {}, "keys": list(keys)}
+    old, new = [field("page_num", {1: 5.0}), field("page_width", {2: 5.0})], [field("pdf_no", {3: 5.0}), field("pdf_width", {2: 5.0})]
+    # A sure pair with the same change of name part supports the weak one.
+    assert schema_drift.flood(old, new)["page_num", "pdf_no"] > schema_drift.flood(old[:1], new[:1])["page_num", "pdf_no"] + 0.01
+    nested = schema_drift.flood([field("size", {1: 5.0}, ["height", "width"])], [field("extent", {2: 5.0}, ["height", "width"])])
+    assert nested["size", "extent"] > schema_drift.flood([field("size", {1: 5.0})], [field("extent", {2: 5.0})])["size", "extent"]
+
+
+def test_unified_table_takes_one_name_of_a_line(spark):
+    lines = [{"target_id": f"t{i}", "width": 1500 + i, "dpi": 1500 + i} for i in range(12)]
+    out = schema_drift.unified_exports(exports(spark, [("a", lines)])).collect()
+    assert {r["width"] for r in out} == {1500 + i for i in range(12)} and all("dpi" in json.loads(r["extras"]) for r in out)
+
+
 def test_nulls_and_broken_payloads(spark):
     a = [{"x": None, "y": 1}, "not json", {"y": 2}]
     b = [{"x": None, "y": 1.5}, {"y": 2.5}]

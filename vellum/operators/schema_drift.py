@@ -1,6 +1,6 @@
 """Schemas that drift between files: change report and one consistent table.
 
-Every file's schema is a small graph (file - field - kind / name part / value class). Two consecutive files of a feed
+Every file's schema is a small graph (file - field - kind / name part / value class / nested key). Two consecutive files of a feed
 are matched by similarity flooding: initial scores of field pairs are propagated over shared neighbours until they
 converge; removed and added fields that choose each other above a threshold are one renamed field.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,13 +100,17 @@ def field_profiles(fields: DataFrame) -> DataFrame:
         .groupBy("feed", "file_name", "delivered_at", "field", "kind", "_h", F.col("_c").isNull().alias("_null"))
         .agg(F.count("*").alias("n"))
     )
+    nested = (
+        fields.where("kind IN ('object', 'list')").select("feed", "file_name", "delivered_at", "field", F.explode(F.regexp_extract_all("json", F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))).alias("key"))
+        .groupBy("feed", "file_name", "delivered_at", "field").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    )
     return counted.groupBy("feed", "file_name", "delivered_at", "field").agg(
         # The leading kind: most values, then the name, so that ties are stable.
         F.max(F.struct(F.when(F.col("kind").isNull(), 0).otherwise(1).alias("some"), "n", "kind"))["kind"].alias("_lead"),
         F.sort_array(F.collect_set("kind")).alias("kinds"),
         F.collect_list(F.when(~F.col("_null"), F.struct(F.col("_h").cast("int").alias("h"), F.col("n").cast("double").alias("n")))).alias("hist"),
         F.sum("n").alias("values"),
-    ).drop("_lead")
+    ).drop("_lead").join(nested, ["feed", "file_name", "delivered_at", "field"], "left")
 
 
 def name_profiles(profiles: DataFrame) -> DataFrame:
@@ -155,38 +160,109 @@ def _cosine(a: dict[int, float], b: dict[int, float]) -> float | None:
     return dot / math.sqrt(sum(a.values()) * sum(b.values()))
 
 
-def flood(old: list[dict], new: list[dict]) -> dict[tuple[str, str], float]:
+def _incidence(fields: list[dict], nodes) -> tuple[list, np.ndarray]:
+    """(neighbour nodes, fields x nodes incidence)."""
+    names = sorted({n for f in fields for n in nodes(f)})
+    at = {n: i for i, n in enumerate(names)}
+    out = np.zeros((len(fields), len(names)), dtype=bool)
+    for i, f in enumerate(fields):
+        out[i, [at[n] for n in nodes(f)]] = True
+    return names, out
+
+
+def _both_ways(a: np.ndarray, b: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """How well the neighbours of every field pair pair up: the mean of each neighbour's best partner."""
+    best_b = np.where(b[None, :, :], pair[:, None, :], 0.0).max(axis=2, initial=0.0)  # node of a x field of b
+    best_a = np.where(a[:, :, None], pair[None, :, :], 0.0).max(axis=1, initial=0.0)  # field of a x node of b
+    n = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :]
+    return (a.astype(float) @ best_b + best_a @ b.T.astype(float)) / np.maximum(n, 1)
+
+
+def flood(old: list[dict], new: list[dict], rivals: bool = True) -> dict[tuple[str, str], float]:
     """Similarity flooding between two schema graphs; converged scores of all field pairs.
 
-    A pair of fields starts from names, kinds and values and receives, in every step, the scores of neighbouring
-    pairs: kind pairs, name-part pairs and value-class pairs, and, negatively, what better rivals claim.
+    A schema graph joins every field to its kinds, name parts, value classes and nested keys. All fields take part, so
+    that fields of one name anchor the rest. In every step a pair of neighbours (two kinds, parts, classes or keys)
+    receives the scores of the best field pairs beside it, and a pair of fields the scores of its neighbour pairs and,
+    negatively and unless the new names stem from different files (``rivals``), what better rivals claim.
     """
-    start: dict[tuple[str, str], float] = {}
-    for a in old:
-        for b in new:
-            local, usual = _cosine(a["hist"], b["hist"]), _cosine(a["usual"], b["usual"])
-            kind = 1.0 if set(a["kinds"]) & set(b["kinds"]) else 0.0
-            values = max(x for x in (local, usual, 0.0) if x is not None)
-            start[a["field"], b["field"]] = 1.0 if a["field"] == b["field"] else 0.62 * values + 0.33 * name_score(a["field"], b["field"]) + 0.05 * kind
-    score = dict(start)
+    if not old or not new:
+        return {}
+    same = np.array([[a["field"] == b["field"] for b in new] for a in old])
+    graphs = []
+    for name, nodes, alike in (
+        ("kinds", lambda f: set(f["kinds"]), lambda p, q: float(p == q)),
+        ("parts", lambda f: set(_parts(f["field"])), _part_score),
+        ("keys", lambda f: set(f.get("keys", ())), name_score),
+    ):
+        (u, a), (v, b) = _incidence(old, nodes), _incidence(new, nodes)
+        first = np.array([[alike(p, q) for q in v] for p in u]).reshape(len(u), len(v))
+        graphs.append((name, a, b, first))
+    # Value classes are shared or not; a shared one carries the cosine of its two fields, others what floods to them.
+    weights = []
+    for kind in ("hist", "usual"):
+        classes = sorted({h for f in (*old, *new) for h in f[kind]})
+        at = {h: i for i, h in enumerate(classes)}
+        sides = []
+        for side in (old, new):
+            m = np.zeros((len(side), len(classes)))
+            for i, f in enumerate(side):
+                for h, n in f[kind].items():
+                    m[i, at[h]] = n
+            sides.append(np.sqrt(m / np.maximum(m.sum(axis=1, keepdims=True), 1e-12)))
+        a, b = sides
+        first = np.eye(len(classes))
+        weights.append((a, b, first))
+
+    names = np.array([[name_score(a["field"], b["field"]) for b in new] for a in old])
+    kinds = np.array([[1.0 if set(a["kinds"]) & set(b["kinds"]) else 0.0 for b in new] for a in old])
+    nested = np.array([[bool(a.get("keys")) and bool(b.get("keys")) for b in new] for a in old])
+    values = np.maximum.reduce([a @ b.T for a, b, *_ in weights])
+    start = np.where(same, 1.0, 0.62 * values + 0.33 * names + 0.05 * kinds)
+    score = start.copy()
     for _ in range(FLOOD_STEPS):
-        after = {}
-        for (a, b), s in score.items():
-            rival = max([v for (x, y), v in score.items() if (x == a) != (y == b)], default=0.0)
-            # A pair both sides prefer keeps its evidence; one outbid elsewhere gives way to the rival.
-            after[a, b] = FLOOD_KEEP * s + (1 - FLOOD_KEEP) * start[a, b] * (1.0 if s >= rival else max(0.0, 1.0 - (rival - s)))
-        change = max((abs(after[k] - score[k]) for k in score), default=0.0)
+        # Field pairs to neighbour pairs: what starts alike stays so, the rest takes what is beside it.
+        near = {}
+        for name, a, b, first in graphs:
+            near[name] = _both_ways(a, b, np.maximum(first, (1 - FLOOD_KEEP) * _both_ways(a.T, b.T, score)))
+        flooded = []
+        for a, b, first in weights:
+            # Equal classes give the cosine; what they leave over goes to the scores that unlike class pairs received.
+            pair = np.where(first > 0, 0.0, (1 - FLOOD_KEEP) * _both_ways(a.T > 0, b.T > 0, score))
+            plain = a @ b.T
+            spare = (1 - plain).clip(0, 1)
+            other = (a * a) @ pair @ (b * b).T
+            flooded.append(np.where((a.sum(axis=1) > 0)[:, None] & (b.sum(axis=1) > 0)[None, :], plain + spare * other, 0.0))
+        value = np.maximum.reduce(flooded)
+        # Keys inside objects are names within the values: they can only add to them.
+        value = np.where(nested, np.maximum(value, near["keys"]), value)
+        taken = np.where(same, 1.0, 0.62 * value + 0.33 * np.maximum(names, near["parts"]) + 0.05 * np.maximum(kinds, near["kinds"]))
+        # A pair both sides prefer keeps its evidence; one outbid elsewhere gives way to the rival.
+        rows_, cols = _best_other(score), _best_other(score.T).T
+        rival = np.maximum(rows_, cols) if rivals else np.zeros_like(score)
+        after = FLOOD_KEEP * score + (1 - FLOOD_KEEP) * taken * np.where(score >= rival, 1.0, (1.0 - (rival - score)).clip(0.0))
+        change = float(np.abs(after - score).max())
         score = after
         if change < FLOOD_EPS:
             break
-    return score
+    return {(a["field"], b["field"]): float(score[i, j]) for i, a in enumerate(old) for j, b in enumerate(new)}
+
+
+def _best_other(score: np.ndarray) -> np.ndarray:
+    """Per cell the best score of the other cells of its row."""
+    if score.shape[1] < 2:
+        return np.zeros_like(score)
+    order = np.sort(score, axis=1)
+    return np.where(score == order[:, -1:], np.where((score == order[:, -1:]).sum(axis=1, keepdims=True) > 1, order[:, -1:], order[:, -2:-1]), order[:, -1:])
 
 
 def match_fields(old: list[dict], new: list[dict], at: float = MATCH_AT) -> list[tuple[str, str, float]]:
     """Consistent one-to-one correspondences between fields that only one side has."""
     gone = [x for x in old if x["field"] not in {y["field"] for y in new}]
     come = [x for x in new if x["field"] not in {y["field"] for y in old}]
-    score = flood(gone, come)
+    # All fields take part in the flooding; only those that one side lacks can be renamed.
+    only = {(a["field"], b["field"]) for a in gone for b in come}
+    score = {k: v for k, v in flood(old, new).items() if k in only} if only else {}
     out, used = [], set()
     for (a, b), s in sorted(score.items(), key=lambda kv: (-kv[1], kv[0])):
         if s >= at and ("a", a) not in used and ("b", b) not in used:
@@ -199,7 +275,7 @@ def _pair_changes(pdf: pd.DataFrame) -> pd.DataFrame:
     feed, name = pdf["feed"].iloc[0], pdf["pair_file"].iloc[0]
     side = {
         k: [
-            {"field": r.field, "kinds": list(r.kinds), "hist": _vector(r.hist), "usual": _vector(r.usual)}
+            {"field": r.field, "kinds": list(r.kinds), "hist": _vector(r.hist), "usual": _vector(r.usual), "keys": list(r.keys)}
             for r in pdf[pdf["is_new"] == k].itertuples()
         ]
         for k in (False, True)
@@ -232,9 +308,10 @@ def schema_changes(exports: DataFrame) -> DataFrame:
         pairs.select("feed", F.col("file_name").alias("pair_file"), F.col("before").alias("side_file"), F.lit(False).alias("is_new"))
     )
     known = profiles.join(usual, "field", "left").groupBy("feed", F.col("file_name").alias("side_file"), "field").agg(
-        F.flatten(F.collect_list("hist")).alias("hist"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"), F.first("usual").alias("usual")
+        F.flatten(F.collect_list("hist")).alias("hist"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"), F.first("usual").alias("usual"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"),
     )
-    joined = sides.join(known, ["feed", "side_file"]).select("feed", "pair_file", "is_new", "field", "kinds", "hist", "usual")
+    joined = sides.join(known, ["feed", "side_file"]).select("feed", "pair_file", "is_new", "field", "kinds", "hist", "usual", "keys")
     return joined.groupBy("feed", "pair_file").applyInPandas(_pair_changes, CHANGE_SCHEMA)
 
 
@@ -253,7 +330,11 @@ def unified_exports(exports: DataFrame) -> DataFrame:
     profiles = field_profiles(fields)
     usual = name_profiles(profiles)
     canonical = [c for c in CANONICAL]
-    mapped = usual.groupBy(F.lit(1).alias("one")).applyInPandas(_assign_canonical(canonical), "field string, canonical string") if canonical else usual
+    vocabulary = profiles.groupBy("field").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"))
+    # Names that stand in one line, by the distinct sets of names lines have.
+    sets = fields.groupBy("feed", "file_name", "delivered_at", "line_no").agg(F.sort_array(F.collect_set("field")).alias("names")).select("names").distinct()
+    beside = sets.select(F.explode("names").alias("field"), "names").select("field", F.explode("names").alias("other")).distinct().groupBy("field").agg(F.sort_array(F.collect_set("other")).alias("beside"))
+    mapped = vocabulary.join(usual, "field", "left").join(beside, "field", "left").groupBy(F.lit(1).alias("one")).applyInPandas(_assign_canonical(canonical), "field string, canonical string")
     wide = (
         fields.join(F.broadcast(mapped), "field", "left")
         .withColumn("_leaf", F.when(F.col("kind").isin("list", "object"), F.regexp_replace(F.regexp_extract("json", r'[:\[]\s*("[^"]*"|[-0-9.]+|true|false)', 1), '"', "")).otherwise(F.col("text")))
@@ -282,15 +363,19 @@ def unified_exports(exports: DataFrame) -> DataFrame:
 def _assign_canonical(canonical: list[str]):
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         # One row per field name of the whole collection: a vocabulary, not data.
-        known = {r.field: _vector(r.usual) for r in pdf.itertuples()}
-        rows = []
-        for name, vec in known.items():
-            best = max(
-                ((1.0 if name == c else 0.62 * (_cosine(vec, known.get(c, {})) or 0.0) + 0.33 * name_score(name, c) + 0.05, c) for c in canonical),
-                default=(0.0, None),
-            )
-            if best[0] >= MATCH_AT:
-                rows.append((name, best[1]))
-        return pd.DataFrame(rows, columns=["field", "canonical"])
+        fields = [{"field": r.field, "kinds": list(r.kinds), "hist": {}, "usual": _vector(r.usual), "keys": list(r.keys)} for r in pdf.sort_values("field").itertuples()]
+        beside = {r.field: set(r.beside) for r in pdf.itertuples()}
+        by_name = {f["field"]: f for f in fields}
+        old = [by_name.get(c, {"field": c, "kinds": [], "hist": {}, "usual": {}, "keys": []}) for c in canonical]
+        # Names of different files are no rivals; names of one line are told apart below.
+        score = flood(old, fields, rivals=False)
+        given: dict[str, str] = {}
+        for (c, name), s in sorted(score.items(), key=lambda kv: (-kv[1], kv[0])):
+            if s < MATCH_AT or name in given or (name in canonical and name != c):
+                continue
+            # One name of a line for one column.
+            if not any(other != name and given.get(other) == c for other in beside[name]):
+                given[name] = c
+        return pd.DataFrame(sorted(given.items()), columns=["field", "canonical"])
 
     return assign
