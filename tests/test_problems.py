@@ -110,6 +110,21 @@ def test_unlabelled_sizes_follow_their_source(spark):
     assert got["b3"] == (130, "linked") and got["a3"] == (130, "stated") and len(got) == 12
 
 
+def test_unlabelled_sources_link_over_others_and_with_offset(spark):
+    schema = "target_id string, source_file string, base_fields map<string,string>, metadata_fields map<string,struct<value:string,abstain:boolean,source:string,confidence:double,reason:string>>"
+    row = lambda k, f, t, v: (k, f, {"depicted_work_title": t}, {"dimensions": (v, False, "x", 0.5, None)})
+    out = []
+    for i in range(8):
+        out.append(row(f"a{i}", "known.pdf", f"T{i}", f"{10 + 5 * i}.0 x 20.0 cm"))
+        out += [row(f"b{i}", "bare.pdf", f"T{i}", f"{100 + 50 * i} x 200"), row(f"c{i}", "bare.pdf", f"U{i}", f"{300 + 50 * i} x 200")]
+        # In centimetres, and only over titles of the source above.
+        out.append(row(f"d{i}", "far.pdf", f"U{i}", f"{30 + 5 * i}.0 x 20.0"))
+        # Millimetres with a margin of 40 around.
+        out.append(row(f"e{i}", "margin.pdf", f"T{i}", f"{140 + 50 * i} x 240"))
+    got = {r["target_id"]: (r["height_mm"], r["width_mm"]) for r in unit_harmony.harmonised_sizes(spark.createDataFrame(out, schema)).collect()}
+    assert got["d2"] == (400, 200) and got["e2"] == (200, 200) and len(got) == 40
+
+
 def test_hostile_and_empty_tables(spark, data, tmp_path_factory):
     bad = hostile_copy(spark, data, tmp_path_factory.mktemp("hostile"))
     none = empty_copy(spark, data, tmp_path_factory.mktemp("empty"))

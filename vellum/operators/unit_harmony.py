@@ -6,7 +6,8 @@
    pair of notations a robust median with its spread is taken over all records (one shuffled aggregate).
 3. Medians are snapped to known conversions and propagated over the graph of notations from millimetres outwards.
 4. Unlabelled sizes take the scale of their own record (reason or caption); beyond that, per source file, the scale
-   that links their titles' sizes to the labelled ones of other sources.
+   (and offset, where the ratios disagree) that links their titles' sizes to those of resolved sources, propagated
+   from the labelled ones until no source is added.
 
 Defined results: null or empty values, 'not measured' and the like give no measure; a size without any unit in its
 record gives no row in ``found_sizes`` and at most an inferred one in ``harmonised_sizes``; repeated rows count once;
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.runtime import cut
+
 #: Millimetres per unit, by the notation of the unit (lower case, no final stop).
 UNIT_MM = {
     "mm": 1.0, "millimetres": 1.0, "millimeters": 1.0, "millimetre": 1.0, "millimeter": 1.0, "millimetern": 1.0, "毫米": 1.0,
@@ -240,15 +243,57 @@ def found_sizes(targets: DataFrame) -> DataFrame:
     )
 
 
+def source_scales(links: DataFrame) -> DataFrame:
+    """(source, mm, plus, links): millimetres = mm * size + plus, from a source's (h, size) of titles known elsewhere.
+
+    A plain scale where the ratios agree; else scale and offset from matching quantiles, if those leave little over.
+    """
+    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    fits = (
+        links.withColumn("r", F.log(F.col("size") / F.col("h"))).groupBy("source")
+        .agg(F.percentile("r", quartiles).alias("r"), F.percentile("h", quartiles).alias("x"), F.percentile("size", quartiles).alias("y"), F.percentile_approx("r", 0.5).alias("mid"), F.count("*").alias("links"))
+        .where(F.col("links") >= MIN_LINKS)
+        .withColumn("slope", F.when((F.col("x")[2] > F.col("x")[0]) & (F.col("y")[2] > F.col("y")[0]), snap(F.log((F.col("y")[2] - F.col("y")[0]) / (F.col("x")[2] - F.col("x")[0])))))
+        .select("source", snap(F.col("mid")).alias("plain"), (F.col("r")[2] - F.col("r")[0]).alias("spread"), "slope", "y", "links")
+    )
+    rest = links.join(fits.where("slope IS NOT NULL").select("source", "slope"), "source").groupBy("source").agg(F.percentile(F.col("size") - F.col("slope") * F.col("h"), quartiles).alias("o"))
+    tight = F.col("plain").isNotNull() & (F.col("spread") <= 2 * SNAP_TOLERANCE)
+    shifted = ~tight & F.col("slope").isNotNull() & (F.col("o")[2] - F.col("o")[0] <= 2 * SNAP_TOLERANCE * F.col("y")[1])
+    return (
+        fits.join(rest, "source", "left")
+        .select("source", F.when(shifted, F.col("slope")).otherwise(F.col("plain")).alias("mm"), F.when(shifted, F.col("o")[1]).otherwise(F.lit(0.0)).alias("plus"), "links")
+        .where("mm IS NOT NULL")
+    )
+
+
 def harmonised_sizes(targets: DataFrame) -> DataFrame:
-    """``found_sizes`` plus the unlabelled rest, by the scale that links their source to others: (..., via, links)."""
+    """``found_sizes`` plus the unlabelled rest, by scale and offset that link their source to others: (..., via, links).
+
+    Sources are linked over the titles they share. A source that is resolved gives sizes to its titles, which may link
+    further sources; this goes on until no source is added.
+    """
     records = size_records(targets)
     stated = found_sizes(targets)
-    titled = records.join(stated, "target_id").where("title IS NOT NULL AND title <> '' AND height_mm > 0")
-    # One robust size per title, so that frequent titles link without pairing their rows.
-    entity = titled.groupBy("title").agg(F.percentile_approx("height_mm", 0.5).alias("mid"))
-    bare = records.join(stated.select("target_id"), "target_id", "left_anti").where(F.col("m")[0]["uh"] == "")
-    links = bare.where("title IS NOT NULL").join(entity, "title").withColumn("r", F.log(F.col("mid") / F.col("m")[0]["h"]))
-    per_source = links.groupBy("source").agg(F.percentile_approx("r", 0.5).alias("mid"), F.count("*").alias("links")).where(F.col("links") >= MIN_LINKS).select("source", snap(F.col("mid")).alias("mm"), "links").where("mm IS NOT NULL")
-    inferred = bare.join(per_source, "source").select("target_id", _half_up(F.col("m")[0]["h"] * F.col("mm")).alias("height_mm"), _half_up(F.col("m")[0]["w"] * F.col("mm")).alias("width_mm"), F.lit("linked").alias("via"), "links")
-    return stated.select("target_id", "height_mm", "width_mm", F.lit("stated").alias("via"), F.lit(None).cast("bigint").alias("links")).unionByName(inferred)
+    named = "title IS NOT NULL AND title <> ''"
+    known = records.join(stated, "target_id").where(named).where("height_mm > 0").select("title", F.col("height_mm").cast("double").alias("size"))
+    bare = cut(
+        records.join(stated.select("target_id"), "target_id", "left_anti").where(F.col("m")[0]["uh"] == "")
+        .select("target_id", "source", "title", F.col("m")[0]["h"].alias("h"), F.col("m")[0]["w"].alias("w"))
+    )
+    known, scales = cut(known), None
+    while True:
+        # One robust size per title, so that frequent titles link without pairing their rows.
+        entity = known.groupBy("title").agg(F.percentile_approx("size", 0.5).alias("size"))
+        open_ = bare if scales is None else bare.join(scales.select("source"), "source", "left_anti")
+        fresh = cut(source_scales(open_.where(named).where("h > 0").join(entity, "title").select("source", "h", "size")))
+        if fresh.isEmpty():
+            break
+        scales = fresh if scales is None else cut(scales.unionByName(fresh))
+        sizes = bare.where(named).join(fresh, "source").select("title", (F.col("h") * F.col("mm") + F.col("plus")).alias("size")).where("size > 0")
+        known = cut(known.unionByName(sizes))
+    out = stated.select("target_id", "height_mm", "width_mm", F.lit("stated").alias("via"), F.lit(None).cast("bigint").alias("links"))
+    if scales is None:
+        return out
+    # The offset of a source is one of its heights and widths alike.
+    size = lambda c: _half_up(F.col(c) * F.col("mm") + F.col("plus"))
+    return out.unionByName(bare.join(scales, "source").select("target_id", size("h").alias("height_mm"), size("w").alias("width_mm"), F.lit("linked").alias("via"), "links"))
