@@ -52,14 +52,23 @@ def test_lenient_json():
     assert lenient_json.parsed('{"a": 1}\n{"a": 2},') == ("lines", [{"a": 1}, {"a": 2}])
     assert lenient_json.parsed('say {"a": 1} and {"a": 1} then {"a": 2}') == ("lenient", [{"a": 1}, {"a": 2}])
     assert lenient_json.parsed("nothing") == ("none", []) == lenient_json.parsed(None)
+    assert lenient_json.parsed('see [1 {"a": "}"} "and so on') == ("lenient", [{"a": "}"}])
+    assert lenient_json.objects_in('{bad {"c": 1} [{"d": 2}, 3]') == [{"c": 1}, {"d": 2}]
     assert json.loads(lenient_json.mended('{"a": [1, 2, {"b": "x')) == {"a": [1, 2, {"b": "x"}]}
 
 
-def test_chunks_cover_and_bound():
-    text = "\n\n".join("Sentence number %d is here; and so on. " % i * 9 for i in range(12)) + "x" * 2500
-    chunks = chunking.chunks_of(text)
-    assert all(len(c) <= chunking.CHUNK_CHARS for c in chunks) and all(u in "".join(chunks) for u in chunking.units_of(text))
-    assert chunking.chunks_of("  ") == []
+def test_chunks_cover_and_bound(spark):
+    long_text = "\n\n".join("Sentence number %d is here; and so on. " % i * 9 for i in range(12)) + "x" * 2500
+    df = spark.createDataFrame([(1, long_text), (2, "  "), (3, None), (4, "one"), (5, "a b, " * 900), (6, "short; " * 300)], "k int, x string")
+    units = {r["k"]: r["u"] for r in df.select("k", chunking.units(F.col("x")).alias("u")).collect()}
+    chunks: dict = {}
+    for r in chunking.chunked(df, "k", "x").orderBy("k", "chunk_no").collect():
+        chunks.setdefault(r["k"], []).append(r["chunk"])
+    assert set(chunks) == {1, 4, 5, 6} and chunks[4] == ["one"]
+    for k, parts in chunks.items():
+        assert all(len(c) <= chunking.CHUNK_CHARS for c in parts) and all(any(u in c for c in parts) for u in units[k])
+    # Every chunk starts with the end of the one before where that is short enough.
+    assert all(b.startswith("short;\nshort;") and a.endswith("short;\nshort;") for a, b in zip(chunks[6], chunks[6][1:]))
 
 
 def test_joins(spark):

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CJK = r"[\x{4e00}-\x{9fff}]"
+#: Fixed value: a sentence, up to a Latin or CJK end or a line break.
+SENTENCE = r"[^。！？!?；;\n]+[。！？!?；;]?"
 #: Characters a complete sentence may end with.
 SENTENCE_ENDERS = "。！？；.!?;”’》】）)"
 
@@ -71,7 +73,7 @@ def head_and_tail(text: Column, limit: int, head: int, gap: str = " ... ") -> Co
 
 def sentences(text: Column) -> Column:
     """Cleaned runs up to a Latin or CJK sentence end, empty ones left out."""
-    found = F.regexp_extract_all(clean_text(text), F.lit(r"[^。！？!?；;\n]+[。！？!?；;]?"), F.lit(0))
+    found = F.regexp_extract_all(clean_text(text), F.lit(SENTENCE), F.lit(0))
     return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
