@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,7 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a folder of our own only where none is set (tests)."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session whose executors are this very process (tests, bench) may do without; it gets a folder that is
+    removed at exit. A cluster without a named folder is an error: a folder of one machine would not survive it.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
@@ -28,15 +33,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
         return
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
     own = tempfile.mkdtemp(prefix="vellum-checkpoint-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(own)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which survives the loss of executors."""
+    """Cut the lineage with a reliable checkpoint, which survives the loss of executors; what is cut already stays."""
+    if getattr(df, "_vellum_cut", False):
+        return df
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    out._vellum_cut = True
+    return out
 
 
 class Shelf:
@@ -68,10 +79,12 @@ class Shelf:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most ``limit`` rows; larger sides keep the planner's shuffle join."""
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+    """Hint a broadcast only after counting at most ``limit`` rows; larger sides keep the planner's shuffle join.
+
+    The side is cut first, so that counting and joining do not compute it twice.
+    """
+    kept = cut(df)
+    return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
 
 
 def local_session(app: str = "vellum", cores: str | int = "*", shuffle: int = 8) -> SparkSession:
@@ -82,6 +95,7 @@ def local_session(app: str = "vellum", cores: str | int = "*", shuffle: int = 8)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
