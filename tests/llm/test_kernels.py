@@ -52,6 +52,23 @@ def test_reflow(spark):
     assert out.where("record_id = 'p'").first()["text"] == "The painter left the mountain bare and the river moves.\n\nEach scholar."
 
 
+def test_one_word_repaired_two_ways(spark):
+    """Two frequent words of one skeleton: every place of the odd form goes by its own neighbours."""
+    skeletons = spark.createDataFrame([("cliff", "diff")], "a string, b string")
+    assert skeletons.where(scan_noise.skeleton(F.col("a")) == scan_noise.skeleton(F.col("b"))).count() == 1
+    clean = [(f"c{i}", "o.pdf", "They climb the cliff above the lake. They note the diff below the line. " * 3) for i in range(4)]
+    text = "“We climb the c1iff above it and note the c1iff below the line,” they say."
+    out = scan_noise.repaired_text(spark.createDataFrame([("p", "b.pdf", text)], PAGES), spark.createDataFrame(clean, CAND)).where("record_id = 'p'").first()["text"]
+    assert out == "“We climb the cliff above it and note the diff below the line,” they say."
+
+
+def test_heads_seen_once_are_known_by_their_frame(spark):
+    pages = [(f"p{i}{j}", f"s{i}.pdf", f"Part iv: {w} and stone   {j + 3}\nThe painter left the mountain bare and\nthe river moves between the pines.") for i, w in enumerate(("silk", "paper", "jade", "satin")) for j in range(2)]
+    pages.append(("once", "lone.pdf", "Part ix: plaster and bronze\nThe painter left the mountain bare and\nthe river moves between the pines."))
+    out = scan_noise.found_noise(spark.createDataFrame(pages, PAGES), spark.createDataFrame([("c", "o.pdf", PROSE)], CAND))
+    assert out.where("noise_kind = 'header'").count() == 9
+
+
 def test_skeleton_is_blind_to_confusions(spark):
     pairs = [("lines", "liries"), ("angular", "angiilar"), ("measurements", "rneasurements"), ("weathered", "vveathered"), ("delicate", "dehcate"), ("travellers", "travcllers"), ("cliff", "diff"), ("stone", "5†0ne")]
     df = spark.createDataFrame(pairs, "a string, b string")

@@ -2,17 +2,22 @@
 
 Lines: a line that is only a (possibly spaced, bracketed or roman) number is a page number. Running heads are found per
 source by masking digits and mapping the rest to its confusable-glyph skeleton: a core that carries a page number
-anywhere in the source, or comes back before different next lines, is a head.
+anywhere in the source, or comes back before different next lines, is a head. Heads of short sources come back too
+seldom for that; they are known by their frame (the order of capitals, numerals, short words and punctuation): a frame
+most of whose masked cores, over all sources, are proven heads makes the others of it heads, too.
 
 Words: every character is replaced by the elementary strokes it may be confused with (a homomorphism, so two words that
 differ only by confusions share the skeleton). Words are grouped by skeleton over all body text; a rare form beside a
 much more frequent one, or one with a character no word has, is misread. Among several frequent forms the one the
-neighbouring words support is chosen. Broken words are joined as the corpus writes them mid-line, with or without hyphen.
+neighbouring words support is chosen, occurrence by occurrence. Broken words are joined as the corpus writes them
+mid-line, with or without hyphen. Reflow runs over windows of a record's lines: running sums number its paragraphs,
+the next line shows whether a broken word goes on.
 
-All counts are taken over all texts; vocabularies and occurrences meet by shuffled or size-checked joins on the word.
+All counts are exact and taken over all texts; vocabularies and occurrences meet by shuffled or size-checked joins.
 
 Defined results: null and empty texts and keys give no row; texts of one line have no heads, numbers or broken words;
-repeated rows count once; a broken or odd word without a known form is repaired by the unambiguous characters alone.
+repeated rows count once; a broken or odd word without a known form is repaired by the unambiguous characters alone;
+one word may be repaired differently at its different places.
 """
 
 from __future__ import annotations
@@ -34,15 +39,18 @@ LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ"
 ODD_PLAIN = {"@": "a", "0": "o", "1": "l", "!": "i", "5": "s", "†": "t", "6": "b", "|": "l"}
 #: A form is misread when another of its skeleton is this many times as frequent, and itself at least LEAST_USES.
 TIMES, LEAST_USES = 8, 3
-#: A head without number comes back in this many records before this many different next lines.
-HEAD_RECORDS, HEAD_NEXT = 3, 2
+#: A head without number comes back in this many records, before different next lines.
+HEAD_RECORDS = 3
+#: A frame is one of heads from this many proven cores on, when they are at least this share of its cores.
+FRAME_CORES, FRAME_SHARE = 3, 0.5
 HYPHENS = "-‐­¬"
 
 _PAGE_NUMBER = r"^[\s\[\]()–—·.-]*(?:[0-9lIO](?:[ ]?[0-9lIO]){0,5}|[ivxlcdm]{1,9}|[IVXLCDM]{1,9})[\s\[\]()–—·-]*$"
 _LEFT_NUMBER = r"^[0-9lIO]{1,4}\s{2,}(?=\S)"
 _RIGHT_NUMBER = r"(?<=\S)\s{2,}[0-9lIO]{1,4}$"
-_HEAD_SHAPE = r"^(?:(?i:part|chapter|section|book|volume|teil|kapitel|abschnitt)\s+(?i:[ivxlcdm1!]+|[0-9]+)\s*[:.].*|\p{Lu}[\p{L}@0!†'-]+(?:\s\p{Lu}[\p{L}@0!†'-]+)*\s(?:Of|OF|0f|0F|On)\s\p{Lu}[^\s]+)$"
-_TOKEN = r"[\p{L}0-9@!†|]+(?:[-'’][\p{L}0-9@!†|]+)*"
+#: A run of word characters, the mark of a line break inside a word included.
+_RUN = r"[\p{L}0-9@!†|'’␤-]+"
+_OUTER = r"^['’-]+|['’|-]+$"
 
 
 def skeleton(word: Column) -> Column:
@@ -63,59 +71,78 @@ def scanned_records(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     return a.unionByName(b).where(F.col("record_id").isNotNull() & F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).distinct()
 
 
+def _frame(bare: Column) -> Column:
+    """The order of numerals (#), short words (themselves), capitals (X, A), other words (w) and punctuation of a line."""
+    word = F.transform(
+        F.split(bare, r"\s+"),
+        lambda x: F.when(x.rlike(r"^(?:(?i:[ivxlcdm1!|]{1,6})|[0-9]{1,4})[:.]?$"), F.concat(F.lit("#"), F.regexp_extract(x, "[:.]?$", 0)))
+        .when(F.length(x) <= 3, skeleton(x)).when(x.rlike(r"^[\p{Lu}0-9@!†|'’-]+$"), "X").when(x.rlike(r"^\p{Lu}"), "A").otherwise("w"),
+    )
+    return F.array_join(word, " ")
+
+
 def classified_lines(records: DataFrame) -> DataFrame:
-    """(record_table, record_id, n, line, role): role is body, blank, header or page_number."""
+    """(record_table, record_id, n, line, t, role): role is body, blank, header or page_number; t is the line trimmed."""
     lines = records.withColumn("ls", F.split("text", "\n")).select(
-        "record_table", "record_id", "source", F.size(F.expr("filter(ls, x -> trim(x) <> '')")).alias("full"),
+        "record_table", "record_id", F.coalesce("source", F.lit("")).alias("source"), F.size(F.expr("filter(ls, x -> trim(x) <> '')")).alias("full"),
         F.posexplode(F.expr("transform(ls, (x, i) -> struct(x AS line, try_element_at(ls, i + 2) AS ahead))")).alias("n", "z"),
     ).select("record_table", "record_id", "source", "full", "n", "z.line", "z.ahead")
-    t = F.trim(F.regexp_replace("line", r"[\s ]+$", ""))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(t, _LEFT_NUMBER, ""), _RIGHT_NUMBER, ""))
+    t = F.trim(F.regexp_replace("line", r"[\s\xa0]+$", ""))
+    # Only short lines of longer texts can be heads or numbers; the patterns are not tried on others.
+    short = (F.col("full") > 1) & (F.length("t") <= 90)
+    bare = F.when(F.col("short"), F.trim(F.regexp_replace(F.regexp_replace("t", _LEFT_NUMBER, ""), _RIGHT_NUMBER, "")))
+    eligible = (F.length("bare") <= 70) & ~F.col("is_number") & F.col("bare").rlike(r"\p{L}{3}.*\s.*\p{L}{2}") & ~F.col("bare").rlike(r"[,;]|[.?!。，；、-]$")
     lines = (
-        lines.withColumn("t", t).withColumn("bare", bare)
-        .withColumn("numbered", (F.col("bare") != F.col("t")) & F.col("bare").rlike(r"\p{L}{2}"))
-        .withColumn("is_number", (F.col("full") > 1) & F.col("t").rlike(_PAGE_NUMBER))
-        .withColumn("eligible", (F.col("full") > 1) & ~F.col("is_number") & (F.length("bare") <= 70) & F.col("bare").rlike(r"\p{L}{3}.*\s.*\p{L}{2}") & ~F.col("bare").rlike(r"[,;]|[.?!。，；、-]$"))
-        .withColumn("core", F.when(F.col("eligible"), skeleton(F.regexp_replace("bare", r"(?<![\p{L}@!†|])[0-9]+(?![\p{L}@!†|])", "#"))))
+        lines.withColumn("t", t).withColumn("short", short).withColumn("is_number", F.col("short") & F.col("t").rlike(_PAGE_NUMBER)).withColumn("bare", bare)
+        .withColumn("core", F.when(eligible, skeleton(F.regexp_replace("bare", r"(?<![\p{L}@!†|])[0-9]+(?![\p{L}@!†|])", "#"))))
+        .withColumn("numbered", F.col("core").isNotNull() & (F.col("bare") != F.col("t")) & F.col("bare").rlike(r"\p{L}{2}"))
+        .withColumn("frame", F.when(F.col("core").isNotNull(), _frame(F.col("bare"))))
+        .withColumn("ahead", F.when(F.col("core").isNotNull(), skeleton(F.substring(F.coalesce("ahead", F.lit("")), 1, 40))))
+        .drop("short", "bare")
     )
-    heads = (
-        lines.where(F.col("eligible")).groupBy("source", "core")
-        .agg(F.approx_count_distinct(F.struct("record_table", "record_id")).alias("records"), F.approx_count_distinct(skeleton(F.coalesce("ahead", F.lit("")))).alias("nexts"), F.max("numbered").alias("numbered"))
+    lines = cut(lines)
+    # One row per record and core first, so that both counts are exact without sets.
+    cores = (
+        lines.where("core IS NOT NULL").groupBy("source", "core", "record_table", "record_id")
+        .agg(F.max("numbered").alias("numbered"), F.min("ahead").alias("low"), F.max("ahead").alias("high"), F.min("frame").alias("frame"))
+        .groupBy("source", "core").agg(F.count("*").alias("records"), F.max("numbered").alias("numbered"), (F.min("low") < F.max("high")).alias("differ"), F.min("frame").alias("frame"))
         .withColumn("elsewhere", F.sum("records").over(Window.partitionBy("core")) - F.col("records"))
-        .where(F.col("numbered") | ((F.col("records") >= HEAD_RECORDS) & (F.col("nexts") >= HEAD_NEXT) & (F.col("elsewhere") * 4 <= F.col("records"))))
-        .select(F.col("source").alias("hs"), F.col("core").alias("hc"), F.lit(True).alias("known"))
+        .withColumn("proven", F.col("numbered") | ((F.col("records") >= HEAD_RECORDS) & F.col("differ") & (F.col("elsewhere") * 4 <= F.col("records"))))
     )
-    joined = lines.join(broadcast_if_small(heads), F.col("source").eqNullSafe(F.col("hs")) & (F.col("core") == F.col("hc")), "left")
-    shaped = F.col("eligible") & F.col("bare").rlike(_HEAD_SHAPE)
-    role = (
-        F.when(F.col("t") == "", "blank").when(F.col("is_number"), "page_number")
-        .when(F.coalesce("known", F.lit(False)) | shaped, "header").otherwise("body")
-    )
-    return joined.select("record_table", "record_id", "n", "line", "t", role.alias("role"))
+    cores = cut(cores.select("source", "core", "frame", "proven"))
+    frames = cores.groupBy("frame").agg(F.count("*").alias("all"), F.count_if("proven").alias("heads")).where((F.col("heads") >= FRAME_CORES) & (F.col("heads") >= FRAME_SHARE * F.col("all")))
+    heads = cores.join(broadcast_if_small(frames.select("frame", F.lit(True).alias("framed"))), "frame", "left").where("proven OR framed").select("source", "core", F.lit(True).alias("known"))
+    role = F.when(F.col("t") == "", "blank").when(F.col("is_number"), "page_number").when(F.coalesce("known", F.lit(False)), "header").otherwise("body")
+    return lines.join(broadcast_if_small(heads), ["source", "core"], "left").select("record_table", "record_id", "n", "line", "t", role.alias("role"))
 
 
 def body_lines(lines: DataFrame) -> DataFrame:
-    """Body lines joined per record: (record_table, record_id, words): one array of word cells in reading order.
+    """(record_table, record_id, body, ws): the reflowed text and its lower-case words in order.
 
-    A cell is (text, token, broken, right): a word broken over two lines is one cell of its two parts.
+    Windows over a record's lines, heads and numbers left out, number the paragraphs and look ahead from a broken word:
+    its halves stay one word with a mark where the line broke.
     """
-    break_at = r"[\p{L}0-9@!†|][" + HYPHENS + r"]\s*$"
-    kept = lines.where(F.col("role").isin("body", "blank")).groupBy("record_table", "record_id").agg(
-        F.array_sort(F.collect_list(F.struct("n", F.when(F.col("role") == "blank", F.lit("\n")).otherwise(F.col("line")).alias("l")))).alias("ls")
+    w = Window.partitionBy("record_table", "record_id").orderBy("n")
+    kept = (
+        lines.where(F.col("role").isin("body", "blank"))
+        .withColumn("paragraph", F.sum((F.col("role") == "blank").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("role = 'body'")
+        .withColumn("goes_on", F.lead("paragraph").over(w)).withColumn("broken", F.col("t").rlike(r"[\p{L}0-9@!†|][" + HYPHENS + "]$") & F.col("goes_on").isNotNull())
     )
-    # A line break after a hyphen becomes a mark inside the broken word; other line breaks become blanks.
-    text = F.array_join(F.transform("ls", lambda x: F.when(x["l"].rlike(break_at), F.concat(F.regexp_replace(F.regexp_replace(x["l"], r"\s+$", ""), "[" + HYPHENS + "]$", ""), F.lit("␤"))).otherwise(F.concat(x["l"], F.lit(" ")))), "")
-    return kept.select("record_table", "record_id", F.regexp_replace(F.regexp_replace(text, r"␤\s+", "␤"), r"[ \t]*\n[ \n\t]*", "\n\n").alias("body"))
+    end = F.when(F.col("broken"), "␤").when(F.col("goes_on") > F.col("paragraph"), "\n\n").otherwise(" ")
+    start = F.when(F.lag("broken").over(w), F.ltrim("line")).otherwise(F.col("line"))
+    piece = F.concat(F.when(F.col("broken"), F.regexp_replace(F.rtrim(F.regexp_replace(start, r"[\s\xa0]+$", "")), "[" + HYPHENS + "]$", "")).otherwise(start), end)
+    texts = kept.withColumn("piece", piece).groupBy("record_table", "record_id").agg(F.array_sort(F.collect_list(F.struct("n", "piece"))).alias("ps"))
+    body = F.array_join(F.transform("ps", lambda x: x["piece"]), "")
+    words = F.transform(F.regexp_extract_all(F.lower("body"), F.lit(_RUN), F.lit(0)), lambda x: F.regexp_replace(x, _OUTER, ""))
+    return texts.select("record_table", "record_id", body.alias("body")).withColumn("ws", words)
 
 
 def word_occurrences(bodies: DataFrame) -> DataFrame:
-    """(record_table, record_id, w, prev, next): lower-case words; a broken one holds the mark of its break."""
-    broken = r"[\p{L}0-9@!†|'’␤-]+"
-    ws = F.transform(F.regexp_extract_all(F.lower("body"), F.lit(broken), F.lit(0)), lambda x: F.regexp_replace(x, r"^['’-]+|['’|-]+$", ""))
-    return bodies.withColumn("ws", ws).select(
+    """(record_table, record_id, at, w, prev, next): words with their place; a broken one holds the mark of its break."""
+    return bodies.select(
         "record_table", "record_id",
-        F.explode(F.expr("transform(ws, (x, i) -> struct(x AS w, coalesce(try_element_at(ws, if(i > 0, i, -size(ws) - 1)), '') AS prev, coalesce(try_element_at(ws, i + 2), '') AS next))")).alias("z"),
-    ).select("record_table", "record_id", "z.w", "z.prev", "z.next").where(F.col("w").rlike(r"\p{L}"))
+        F.posexplode(F.expr("transform(ws, (x, i) -> struct(x AS w, coalesce(get(ws, i - 1), '') AS prev, coalesce(get(ws, i + 1), '') AS next))")).alias("at", "z"),
+    ).select("record_table", "record_id", "at", "z.w", "z.prev", "z.next").where(F.col("w").rlike(r"\p{L}"))
 
 
 def _odd(w: Column) -> Column:
@@ -128,17 +155,19 @@ def _plain(w: Column) -> Column:
     return F.translate(apart, "".join(ODD_PLAIN), "".join(ODD_PLAIN.values()))
 
 
-def vocabulary(occurrences: DataFrame) -> DataFrame:
+def vocabulary(bodies: DataFrame) -> DataFrame:
     """(w, c, s): whole mid-line words with count and skeleton."""
-    return occurrences.where(~F.col("w").contains("␤")).groupBy("w").agg(F.count("*").alias("c")).withColumn("s", skeleton(F.col("w")))
+    words = bodies.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    return words.where(F.col("w").rlike(r"\p{L}") & ~F.col("w").contains("␤")).withColumn("s", skeleton(F.col("w")))
 
 
 def repairs(bodies: DataFrame) -> DataFrame:
-    """(record_table, record_id, noise_kind, observed, repaired) of every misread or broken word."""
+    """(record_table, record_id, at, noise_kind, repaired) of every misread or broken word, ``at`` its place in ``ws``."""
     occurrences = word_occurrences(bodies)
-    words = cut(vocabulary(occurrences))
+    place = ["record_table", "record_id", "at"]
+    words = cut(vocabulary(bodies))
     good = words.where((F.col("c") >= LEAST_USES) & ~_odd(F.col("w")) & ~F.col("w").rlike("[0-9]") & (F.length("w") >= 2))
-    forms = good.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("c", "w")), asc=False).alias("forms"))
+    forms = cut(good.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("c", "w")), asc=False).alias("forms")))
     han = F.col("w").rlike(r"[⺀-鿿]")
     # Distinct suspicious words with the frequent forms of their skeleton.
     doubt = (
@@ -148,22 +177,25 @@ def repairs(bodies: DataFrame) -> DataFrame:
         .where((_odd(F.col("w")) & ~F.col("w").endswith("!")) | ((F.size("forms") > 0) & (F.length("w") >= 3) & ~F.col("w").rlike("[0-9]")))
         .select("w", "forms")
     )
-    doubt = cut(doubt)
-    seen = occurrences.where(~F.col("w").contains("␤")).join(broadcast_if_small(doubt), "w")
+    seen = cut(occurrences.join(broadcast_if_small(doubt), "w"))
     # One frequent form: taken as it is. Several: the one the neighbours support.
-    single = seen.where(F.size("forms") <= 1).select("record_table", "record_id", "w", F.coalesce(F.try_element_at("forms", F.lit(1))["w"], _plain(F.col("w"))).alias("repaired"))
-    several = cut(seen.where(F.size("forms") > 1).select("record_table", "record_id", "w", "prev", "next", F.explode("forms").alias("f")).select("record_table", "record_id", "w", "prev", "next", F.col("f.w").alias("v"), F.col("f.c").alias("c")))
+    single = seen.where(F.size("forms") <= 1).select(*place, F.coalesce(F.try_element_at("forms", F.lit(1))["w"], _plain(F.col("w"))).alias("repaired"), "w")
+    several = seen.where(F.size("forms") > 1).select(*place, "w", "prev", "next", F.explode("forms").alias("f")).select(*place, "w", "prev", "next", F.col("f.w").alias("v"), F.col("f.c").alias("c"))
     asked = several.select(F.col("prev").alias("x"), F.col("v").alias("y")).union(several.select("v", "next")).distinct()
-    pairs = occurrences.select(F.col("w").alias("x"), F.col("next").alias("y")).join(broadcast_if_small(asked), ["x", "y"], "left_semi").groupBy("x", "y").agg(F.count("*").alias("n"))
+    pairs = (
+        bodies.select(F.explode(F.expr("transform(ws, (x, i) -> struct(x AS x, coalesce(get(ws, i + 1), '') AS y))")).alias("z")).select("z.x", "z.y")
+        .join(broadcast_if_small(asked), ["x", "y"], "left_semi").groupBy("x", "y").agg(F.count("*").alias("n"))
+    )
+    pairs = broadcast_if_small(pairs)
     scored = (
         several.join(pairs.withColumnsRenamed({"x": "prev", "y": "v", "n": "before"}), ["prev", "v"], "left")
         .join(pairs.withColumnsRenamed({"x": "v", "y": "next", "n": "after"}), ["v", "next"], "left")
         .withColumn("score", F.log1p(F.coalesce("before", F.lit(0))) * 2 + F.log1p(F.coalesce("after", F.lit(0))) * 2 + F.log("c"))
     )
-    chosen = scored.groupBy("record_table", "record_id", "w", "prev", "next").agg(F.max_by("v", F.struct("score", "c", "v")).alias("repaired")).select("record_table", "record_id", "w", "repaired")
-    misread = single.unionByName(chosen).where(F.col("repaired") != F.col("w")).select("record_table", "record_id", F.lit("misread").alias("noise_kind"), F.col("w").alias("observed"), "repaired")
+    chosen = scored.groupBy(*place, "w").agg(F.max_by("v", F.struct("score", "c", "v")).alias("repaired")).select(*place, "repaired", "w")
+    misread = single.unionByName(chosen).where(F.col("repaired") != F.col("w")).select(*place, F.lit("misread").alias("noise_kind"), "repaired")
     # Broken words: joined as the corpus writes them mid-line; misread parts by the skeleton of the whole.
-    parts = occurrences.where(F.col("w").contains("␤") & ~F.col("w").startswith("␤") & ~F.col("w").endswith("␤")).select("record_table", "record_id", "w")
+    parts = cut(bodies.where(F.col("body").contains("␤")).select("record_table", "record_id", F.posexplode("ws").alias("at", "w")).where(F.col("w").contains("␤") & F.col("w").rlike(r"\p{L}") & ~F.col("w").startswith("␤") & ~F.col("w").endswith("␤")))
     types = parts.select("w").distinct().withColumn("solid", F.replace("w", F.lit("␤"), F.lit(""))).withColumn("dashed", F.replace("w", F.lit("␤"), F.lit("-")))
     known = words.select(F.col("w").alias("k"), F.col("c").alias("n"))
     best = forms.select("s", F.col("forms")[0].alias("top"))
@@ -180,7 +212,7 @@ def repairs(bodies: DataFrame) -> DataFrame:
         .otherwise(F.when(_odd(F.col("solid")), _plain(F.col("solid"))).otherwise(F.col("solid")))
     )
     mended = types.select("w", joined.alias("repaired"))
-    hyphenated = parts.join(broadcast_if_small(mended), "w").select("record_table", "record_id", F.lit("hyphenation").alias("noise_kind"), F.col("w").alias("observed"), "repaired")
+    hyphenated = parts.join(broadcast_if_small(mended), "w").select(*place, F.lit("hyphenation").alias("noise_kind"), "repaired")
     return misread.unionByName(hyphenated)
 
 
@@ -193,16 +225,19 @@ def found_noise(pages: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def repaired_text(pages: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(record_table, record_id, text): continuous paragraphs, without heads and numbers, words repaired."""
+    """(record_table, record_id, text): continuous paragraphs, without heads and numbers, every word repaired in its place."""
     bodies = cut(body_lines(cut(classified_lines(scanned_records(pages, candidates)))))
-    fixes = repairs(bodies).groupBy("record_table", "record_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("observed", "repaired")))).alias("fixes"))
-    cells = F.regexp_extract_all("body", F.lit(r"[\p{L}0-9@!†|'’␤-]+|[^\p{L}0-9@!†|'’␤-]+"), F.lit(0))
+    fixes = repairs(bodies).groupBy("record_table", "record_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "repaired"))).alias("fixes"))
 
-    def mend(x: Column) -> Column:
-        new = F.try_element_at("fixes", F.lower(x))
+    def mend(x: Column, i: Column) -> Column:
+        new, core = F.try_element_at("fixes", i), F.regexp_replace(x, _OUTER, "")
         # The first letter keeps its case.
-        return F.when(new.isNull(), F.replace(x, F.lit("␤"), F.lit(""))).when(F.substring(x, 1, 1).rlike(r"\p{Lu}"), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 10000))).otherwise(new)
-
-    text = F.array_join(F.transform("cells", mend), "")
-    rows = bodies.join(fixes, ["record_table", "record_id"], "left").withColumn("fixes", F.coalesce("fixes", F.create_map().cast("map<string,string>"))).withColumn("cells", cells)
+        cased = F.when(F.substring(core, 1, 1).rlike(r"\p{Lu}"), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new)))).otherwise(new)
+        return F.when(new.isNull(), F.replace(x, F.lit("␤"), F.lit(""))).otherwise(F.concat(F.regexp_extract(x, r"^['’-]*", 0), cased, F.regexp_extract(x, r"['’|-]*$", 0)))
+
+    # Words and what stands between them, zipped again after mending.
+    runs = F.transform(F.regexp_extract_all("body", F.lit(_RUN), F.lit(0)), mend)
+    mended = F.array_join(F.zip_with(F.split("body", _RUN), runs, lambda gap, run: F.concat(gap, F.coalesce(run, F.lit("")))), "")
+    text = F.when(F.col("fixes").isNull(), F.replace("body", F.lit("␤"), F.lit(""))).otherwise(mended)
+    rows = bodies.join(fixes, ["record_table", "record_id"], "left")
     return rows.select("record_table", "record_id", F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ?\n\n ?", "\n\n")).alias("text"))
