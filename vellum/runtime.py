@@ -50,17 +50,43 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _table_root(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/vellum-tables"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written to the checkpoint folder: for large sides, compressed and read by column.
+
+    Its size is that of its files, where a checkpoint keeps its plan's estimate. The tables of a session lie in one
+    folder; ``release`` removes them.
+    """
+    path = f"{_table_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._vellum_cut = True
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the stored tables of the session; frames that read them must not be used any more."""
+    _delete(spark, _table_root(spark))
+
+
 class Shelf:
-    """Tables in the checkpoint folder, for loops.
+    """Stored tables for loops: those that a later round replaces are dropped at once.
 
     A checkpoint keeps its plan's size estimate; estimates of joins multiply, so that after some rounds planning alone
-    takes minutes. A table that is written and read again has the size of its files. Tables that a later round replaces
-    are dropped at once.
+    takes minutes. A table that is written and read again has the size of its files.
     """
 
     def __init__(self, spark: SparkSession):
-        ensure_checkpoint_dir(spark)
-        self.spark, self.root = spark, f"{spark.sparkContext.getCheckpointDir()}/vellum-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{_table_root(spark)}/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -71,11 +97,9 @@ class Shelf:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
             if path := self.paths.pop(id(t), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
