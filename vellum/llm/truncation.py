@@ -2,14 +2,16 @@
 
 For every final context (the last 1..n characters, read backwards from the end) the model compares how often texts end
 there with how often they go on there, over all texts of the language. Orders are interpolated from short to long, each
-text's own end left out, into log-odds of ending; a text below the threshold of its language and column was cut. Rare
+text's own end left out, into log-odds of ending; a text below the threshold of its language and column, the valley in
+the odds of that group, was cut. Rare
 capitalised words (names) stand as one symbol, so that a context reaches beyond them, unless they are the last word and
 the beginning of a known one. A second run of the same model over word classes keeps rare but complete endings from
 being called cut. Field limits show as a pile of texts of one
 length that none of the source exceeds and of which many look cut by themselves.
 
-Counts are taken over all texts, in the JVM, aggregated map-side before the shuffle; the only broadcast is the set of
-words that stand in at least ``KEEP_SHARE`` of all texts, which by that share is bounded by words per text / share.
+Counts are taken over all positions of all texts by array operations, filtered to contexts in which some text ends and
+summed per task before the shuffle. Broadcast are that filter (a fixed size) and the words that stand in at least
+``KEEP_SHARE`` of all texts, by that share at most words per text / share.
 
 Defined results: null and blank texts or null keys are no records; repeated rows count once; a text that ends with a
 final stop is complete unless blanks follow it at the limit; an ellipsis is no final stop, the text before it is judged; ties and empty tables need no special case.
@@ -20,11 +22,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.runtime import cut
+from vellum.runtime import broadcast_if_small, cut, stored
 
 CHAR_ORDERS = (1, 2, 3, 5, 8, 12)
 CLASS_ORDERS = (1, 2, 3, 4, 6, 8)
@@ -33,14 +37,19 @@ BACK_OFF, BASE_RATE = 2.0, 0.05
 #: A word is known from this share of all texts (and at least this many), a function word from the second
 #: share or when it is known and that short.
 KEEP_SHARE, KEEP_LEAST, FUNCTION_SHARE, FUNCTION_LETTERS = 0.001, 5, 0.08, 3
-#: Log-odds of ending below which a text counts as cut, by (language, column); '' is the default.
-THRESHOLDS = {("", ""): -2.0}
+#: Log-odds between which a language and column's threshold is sought, its steps, the least texts in that range that
+#: show a valley, and the threshold where no group shows one.
+VALLEY, VALLEY_STEP, VALLEY_TEXTS, NO_VALLEY = (-6.0, 0.0), 0.5, 40, -2.0
 #: Class log-odds from which a whole last word is a complete ending whatever its characters say.
 EXCUSED = 0.5
 #: Texts of exactly the greatest length that make it a limit, and texts a source needs.
 LIMIT_PILE, LIMIT_TEXTS = 3, 5
 #: Share of the texts of that length that must look cut by themselves: template texts pile up at a length, too.
 LIMIT_SHARE = 0.4
+#: Bits of the filter of end contexts (a fixed 8 MB, whatever the data), and keys a task holds before it hands them on.
+FILTER_BITS, HELD_KEYS = 1 << 26, 2_000_000
+#: Characters of texts that a kernel reads at a time.
+PIECE_CHARS = 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[⺀-鿿]")
@@ -50,7 +59,7 @@ _STOP = re.compile(r"[.。!?！？][\"”“»)）\]』」]*$")
 _ELLIPSIS = re.compile(r"\s*(?:[\[(（]\s*)?(?:\.{3,}|(?:\.\s){2,}\.|…+)[\"”“»)）\]』」\s]*$")
 _GERMAN = re.compile(r"\b(?:der|die|das|und|ist|nicht|Tafel|Abb|eine|dem|von)\b")
 
-STATE = "record_table string, record_id string, source string, lang string, n int, stopped boolean, torn boolean, trailing boolean, ends_known boolean, chars string, classes string"
+STATE = "record_table string, record_id string, source string, lang string, n int, stopped boolean, torn boolean, trailing boolean, ends_known boolean, chars string, classes string, ck array<bigint>, wk array<bigint>"
 
 
 def source_key(path: Column) -> Column:
@@ -107,8 +116,79 @@ def word_classes(normal: str, functions: set[str]) -> str:
     return " ".join(out)
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def context_keys(codes: np.ndarray, lengths: np.ndarray, seeds: np.ndarray, orders: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per order (key, text, is it the end) of every position that has so long a context.
+
+    ``codes`` holds the symbols of all texts one after the other. A context is hashed from sums of powers, so that all
+    positions of an order take a few array operations; ``seeds`` (language and kind) and the order are mixed in.
+    """
+    size = len(codes)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    stop = np.cumsum(lengths)
+    inside = np.arange(size) - (stop - lengths)[owner]
+    with np.errstate(over="ignore"):
+        power, back = np.ones(size + 1, dtype=np.uint64), np.ones(size + 1, dtype=np.uint64)
+        power[1:] = np.multiply.accumulate(np.full(size, _BASE, dtype=np.uint64))
+        back[1:] = np.multiply.accumulate(np.full(size, _BACK, dtype=np.uint64))
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((codes + np.uint64(1)) * power[:size], dtype=np.uint64)])
+        for n in orders:
+            at = np.flatnonzero(inside >= n - 1)
+            key = (total[at + 1] - total[at + 1 - n]) * back[at + 1 - n]
+            yield _mixed(_mixed(key + np.uint64(n)) ^ seeds[owner[at]]).view(np.int64), owner[at], at + 1 == stop[owner[at]]
+
+
+def _char_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64), np.array([len(t) for t in texts], dtype=np.int64)
+
+
+def _class_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    words = [t.split(" ") for t in texts]
+    return np.array([xxhash.xxh64_intdigest(w) for ws in words for w in ws], dtype=np.uint64), np.array([len(ws) for ws in words], dtype=np.int64)
+
+
+#: The two forms the model reads: column, kind, symbols and orders.
+FORMS = (("chars", 1, _char_codes, CHAR_ORDERS), ("classes", 2, _class_codes, CLASS_ORDERS))
+
+
+def _seeds(langs: list[str], kind: int) -> np.ndarray:
+    book = {x: xxhash.xxh64_intdigest(f"{kind}:{x}") for x in set(langs)}
+    return np.array([book[x] for x in langs], dtype=np.uint64)
+
+
+def _pieces(texts: list[str]) -> Iterator[slice]:
+    """Slices of about ``PIECE_CHARS`` characters, a longer text alone."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > PIECE_CHARS:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def end_keys(texts: list[str], langs: list[str], kind: int, symbols, orders: tuple) -> list[list[int]]:
+    """The keys of every text's final contexts, from the shortest to the longest it has."""
+    codes, lengths = symbols(texts)
+    out: list[list[int]] = [[] for _ in texts]
+    for keys, owner, ends in context_keys(codes, lengths, _seeds(langs, kind), orders):
+        for i, k in zip(owner[ends].tolist(), keys[ends].tolist()):
+            out[i].append(k)
+    return out
+
+
 def text_states(records: DataFrame) -> DataFrame:
-    """Every record with the forms the model reads (columns of ``STATE``)."""
+    """Every record with the forms the model reads and the keys of their ends (columns of ``STATE``)."""
     known, functions = known_words(records)
     shared = records.sparkSession.sparkContext.broadcast((known, functions))
 
@@ -116,6 +196,7 @@ def text_states(records: DataFrame) -> DataFrame:
         known, functions = shared.value
         beginnings = {w[:i] for w in known for i in range(1, len(w))}
         lowered = {w.lower() for w in known}
+        longest = max(CHAR_ORDERS)
         for b in batches:
             out = []
             for table, key, source, text in zip(b["record_table"], b["record_id"], b["source"], b["text"]):
@@ -126,46 +207,94 @@ def text_states(records: DataFrame) -> DataFrame:
                     table, key, source, lang, len(text), bool(_STOP.search(body.rstrip())), "�" in text.rstrip()[-2:],
                     text != text.rstrip(), whole, normal, word_classes(normal, functions),
                 ))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
+            df = pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")[:-2]])
+            langs = df["lang"].tolist()
+            df["ck"] = end_keys([t[-longest:] for t in df["chars"]], langs, 1, _char_codes, CHAR_ORDERS)
+            df["wk"] = end_keys([" ".join(t.rsplit(" ", max(CLASS_ORDERS))[-max(CLASS_ORDERS):]) for t in df["classes"]], langs, 2, _class_codes, CLASS_ORDERS)
+            yield df
 
     return records.mapInPandas(forms, STATE)
 
 
-def _contexts(form: str, orders: tuple, classes: bool) -> tuple[Column, Column]:
-    """(contexts of all inner positions, contexts of the end), hashed with order and language."""
-    if classes:
-        size, part = f"size({form})", lambda at, n: f"slice({form}, {at} - {n} + 1, {n})"
-    else:
-        size, part = f"length({form})", lambda at, n: f"substring({form}, {at} - {n} + 1, {n})"
-    inner = ", ".join(f"IF({size} > {n}, transform(sequence({n}, {size} - 1), p -> xxhash64({n}, {int(classes)}, lang, {part('p', n)})), array())" for n in orders)
-    ends = ", ".join(f"IF({size} >= {n}, array(struct({n} AS o, xxhash64({n}, {int(classes)}, lang, {part(size, n)}) AS k)), array())" for n in orders)
-    return F.expr(f"concat({inner})"), F.expr(f"concat({ends})")
+def _end_filter(wanted: DataFrame) -> bytes:
+    """A bit per slot of the wanted keys: at most FILTER_BITS / 64 rows reach the driver, whatever the data."""
+    slot = F.pmod("k", F.lit(FILTER_BITS))
+    rows = wanted.select(F.floor(slot / 64).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(k, {FILTER_BITS}) % 64 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return out.tobytes()
+
+
+def inner_counts(forms: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k, mid): how often the contexts that are wanted stand inside texts, by weight.
+
+    Every inner position is read; positions whose context is no end context are dropped by a filter with false positives
+    only, the rest is summed per task before the shuffle. The filter saves work, it decides nothing: the join does.
+    """
+    bits = forms.sparkSession.sparkContext.broadcast(_end_filter(wanted))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.frombuffer(bits.value, dtype=np.uint8)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+            return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+
+        size = 0
+        for b in batches:
+            for part in _pieces(b["chars"].tolist()):
+                langs, weight = b["lang"].iloc[part].tolist(), b["weight"].iloc[part].to_numpy(dtype=np.int64)
+                for column, kind, symbols, orders in FORMS:
+                    codes, lengths = symbols(b[column].iloc[part].tolist())
+                    for keys, owner, ends in context_keys(codes, lengths, _seeds(langs, kind), orders):
+                        slot = keys.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+                        hit = ~ends & ((seen[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                        held.append((keys[hit], weight[owner[hit]]))
+                        size += int(hit.sum())
+                if size > 2 * HELD_KEYS:
+                    held = [summed()]
+                    size = len(held[0][0])
+                    if size > HELD_KEYS:
+                        yield pd.DataFrame({"k": held[0][0], "mid": held[0][1]})
+                        held, size = [], 0
+        if held:
+            keys, counts = summed()
+            yield pd.DataFrame({"k": keys, "mid": counts})
+
+    return forms.select("lang", "chars", "classes", "weight").mapInPandas(run, "k bigint, mid bigint").groupBy("k").agg(F.sum("mid").alias("mid"))
 
 
 def ending_scores(states: DataFrame) -> DataFrame:
-    """(lang, chars, classes, char_odds, class_odds): log-odds of ending for every distinct form."""
-    texts = states.select("lang", "source", "chars", "classes", "n").distinct().withColumn("ca", F.split("classes", " "))
-    scored = None
-    for name, form, orders, classes in (("char_odds", "chars", CHAR_ORDERS, False), ("class_odds", "ca", CLASS_ORDERS, True)):
-        inner, ends = _contexts(form, orders, classes)
-        went_on = texts.select(F.explode(inner).alias("k")).groupBy("k").agg(F.count("*").alias("mid"))
-        stopped = texts.select(F.explode(ends).alias("z")).groupBy(F.col("z.k").alias("k")).agg(F.count("*").alias("stop"))
-        # Only contexts in which some text ends are needed.
-        model = stopped.join(went_on, "k", "left").select("k", "stop", F.coalesce("mid", F.lit(0)).alias("mid"))
-        key = "chars" if not classes else "classes"
-        distinct = texts.select("lang", key, *(["ca"] if classes else [])).distinct()
-        cells = distinct.select("lang", key, F.explode(ends).alias("z")).select("lang", key, F.col("z.o").alias("o"), F.col("z.k").alias("k"))
-        # The whole text is the longest context: what stands alone in many sources was not cut in any.
-        alone = texts.select("lang", key, "source").distinct().groupBy("lang", key).agg(F.count("*").alias("stop")).select("lang", key, F.struct(F.lit(99).alias("o"), "stop", F.lit(0).cast("bigint").alias("mid")).alias("whole"))
-        found = cells.join(model, "k").groupBy("lang", key).agg(F.array_sort(F.collect_list(F.struct("o", "stop", "mid"))).alias("m"))
+    """(lang, chars, char_odds, class_odds): log-odds of ending for every distinct form without final stop."""
+    # Texts that differ in names only share a form; they count by source and length.
+    texts = states.groupBy("lang", "chars", "source", "n").agg(F.any_value("classes").alias("classes"), F.any_value("ck").alias("ck"), F.any_value("wk").alias("wk"), F.min("stopped").alias("stopped"))
+    forms = stored(texts.groupBy("lang", "chars").agg(
+        F.count("*").alias("weight"), F.count_distinct("source").alias("sources"), F.any_value("classes").alias("classes"), F.any_value("ck").alias("ck"), F.any_value("wk").alias("wk"), F.min("stopped").alias("stopped")
+    ))
+    open_ = forms.where("NOT stopped")
+    wanted = cut(open_.select(F.explode(F.concat("ck", "wk")).alias("k")).distinct())
+    ends = forms.select(F.explode(F.concat("ck", "wk")).alias("k"), "weight").groupBy("k").agg(F.sum("weight").alias("stop"))
+    model = cut(wanted.join(ends, "k").join(inner_counts(forms, wanted), "k", "left").select("k", "stop", F.coalesce("mid", F.lit(0)).alias("mid")))
+    # Where the form stands alone in many sources, it was not cut in any: the whole text is the longest context.
+    class_sources = texts.groupBy("lang", "classes").agg(F.count_distinct("source").alias("class_sources"))
+    out = open_.select("lang", "chars", "classes", "sources", F.element_at("ck", -1).alias("ck"), F.element_at("wk", -1).alias("wk")).join(class_sources, ["lang", "classes"])
+    for key, name, alone in (("ck", "char_odds", "sources"), ("wk", "class_odds", "class_sources")):
+        # Chains of contexts that share an end are one: the deepest context stands for them.
+        chains = open_.select(F.element_at(key, -1).alias("deep"), key).dropDuplicates(["deep"]).select("deep", F.posexplode(key).alias("o", "k"))
+        # The shortest contexts are few and on every chain.
+        low = model.join(broadcast_if_small(chains.where("o <= 1").select("k").distinct()), "k", "left_semi")
+        cells = chains.where("o <= 1").join(broadcast_if_small(low), "k").unionByName(chains.where("o > 1").join(model, "k"))
+        met = cells.groupBy("deep").agg(F.array_sort(F.collect_list(F.struct("o", "stop", "mid"))).alias("m"))
         # Interpolate from the shortest context to the longest, the text's own end left out.
         p = F.aggregate("m", F.lit(BASE_RATE), lambda p, x: (x["stop"] - 1 + BACK_OFF * p) / (x["stop"] - 1 + x["mid"] + BACK_OFF))
-        found = found.join(alone, ["lang", key]).withColumn("m", F.concat("m", F.array("whole")))
-        odds = found.withColumn("p", p).select("lang", key, F.log(F.col("p") / (1 - F.col("p"))).alias(name))
-        scored = odds if scored is None else (scored, odds)
-    chars, classes = scored
-    pairs = states.select("lang", "chars", "classes").distinct()
-    return pairs.join(chars, ["lang", "chars"], "left").join(classes, ["lang", "classes"], "left")
+        out = out.join(met.select(F.col("deep").alias(key), p.alias("p")), key)
+        whole = (F.col(alone) - 1 + BACK_OFF * F.col("p")) / (F.col(alone) - 1 + BACK_OFF)
+        out = out.withColumn(name, F.log(whole / (1 - whole))).drop("p")
+    return out.select("lang", "chars", "char_odds", "class_odds")
 
 
 def field_limits(states: DataFrame) -> DataFrame:
@@ -175,24 +304,63 @@ def field_limits(states: DataFrame) -> DataFrame:
     return most.where((F.col("m.c") >= LIMIT_PILE) & (F.col("texts") >= LIMIT_TEXTS)).select("record_table", "source", F.col("m.n").alias("limit"))
 
 
+def valley(counts: dict[int, int]) -> float | None:
+    """The middle of the emptiest stretch of a histogram of log-odds (by step number), None where too little is in range."""
+    low, high = (round(x / VALLEY_STEP) for x in VALLEY)
+    bins = [counts.get(i, 0) for i in range(low, high)]
+    if sum(bins) < VALLEY_TEXTS:
+        return None
+    least = min(bins)
+    # The longest run of emptiest steps; of equal ones the one nearest to even odds.
+    runs, i = [], 0
+    while i < len(bins):
+        j = i
+        while j < len(bins) and bins[j] == least:
+            j += 1
+        if j > i:
+            runs.append((j - i, i, j))
+        i = max(j, i + 1)
+    _, i, j = max(runs)
+    return (low + (i + j) / 2) * VALLEY_STEP
+
+
+def thresholds_of(rows: DataFrame) -> dict[tuple[str, str], float]:
+    """Log-odds below which a text counts as cut, by (language, column), from the odds of all texts without final stop.
+
+    Complete and cut texts pile up on either side of a valley; the threshold lies in it. A group with too few texts in
+    range takes its language's valley, then that of all texts. At most languages x columns x steps rows are collected.
+    """
+    low, high = VALLEY
+    near = rows.where((F.col("evidence") >= low) & (F.col("evidence") < high) & ~F.col("stopped") & ~F.col("trailing"))
+    steps = near.groupBy("lang", "record_table", F.floor(F.col("evidence") / VALLEY_STEP).cast("int").alias("step")).agg(F.count("*").alias("c")).collect()
+    sums: dict[tuple[str, str], dict[int, int]] = {}
+    for r in steps:
+        for key in ((r["lang"], r["record_table"]), (r["lang"], ""), ("", "")):
+            own = sums.setdefault(key, {})
+            own[r["step"]] = own.get(r["step"], 0) + r["c"]
+    found = {k: v for k, h in sums.items() if (v := valley(h)) is not None}
+    default = found.get(("", ""), NO_VALLEY)
+    return {("", ""): default} | {k: found.get(k, found.get((k[0], ""), default)) for k in sums if k[1]}
+
+
 def judged_texts(targets: DataFrame, candidates: DataFrame, thresholds: dict | None = None) -> DataFrame:
-    """Every record with its odds, its source's limit and whether it was cut."""
-    thresholds = {**THRESHOLDS, **(thresholds or {})}
-    states = cut(text_states(text_records(targets, candidates)))
+    """Every record with its odds, its source's limit and whether it was cut; ``thresholds`` replace the derived ones."""
+    states = stored(text_states(cut(text_records(targets, candidates))))
     limits = field_limits(states)
     odds = ending_scores(states)
-    at = F.lit(thresholds["", ""])
-    for (lang, column), value in thresholds.items():
-        if lang:
-            at = F.when((F.col("lang") == lang) & (F.col("record_table") == column), F.lit(value)).otherwise(at)
-    rows = states.join(odds, ["lang", "chars", "classes"], "left").join(limits, [states.record_table.eqNullSafe(limits.record_table), states.source.eqNullSafe(limits.source)], "left").select(states["*"], "char_odds", "class_odds", "limit")
+    rows = states.join(odds, ["lang", "chars"], "left").join(limits, [states.record_table.eqNullSafe(limits.record_table), states.source.eqNullSafe(limits.source)], "left").select(states["*"], "char_odds", "class_odds", "limit")
     # A word that is broken off, and Chinese, go by characters; a whole last word may also be excused by its class.
     evidence = F.when(~F.col("ends_known") | (F.col("lang") == "zh"), F.coalesce("char_odds", F.lit(0.0))).otherwise(F.when(F.col("class_odds") >= EXCUSED, F.col("class_odds")).otherwise(F.col("char_odds")))
-    own = F.coalesce(F.col("torn") | (~F.col("stopped") & (F.col("trailing") | (evidence < at))), F.lit(False))
-    rows = cut(
-        rows.withColumn("own", own).withColumn("piled", F.coalesce(F.col("n") == F.col("limit"), F.lit(False)))
-        .select("record_table", "record_id", "source", "lang", "n", "stopped", "torn", "trailing", "ends_known", "chars", "char_odds", "class_odds", "limit", "piled", "own")
+    rows = stored(
+        rows.withColumn("evidence", evidence).withColumn("piled", F.coalesce(F.col("n") == F.col("limit"), F.lit(False)))
+        .select("record_table", "record_id", "source", "lang", "n", "stopped", "torn", "trailing", "ends_known", "char_odds", "class_odds", "evidence", "limit", "piled")
     )
+    derived = {**thresholds_of(rows), **(thresholds or {})}
+    at = F.lit(derived["", ""])
+    for (lang, column), value in derived.items():
+        if lang:
+            at = F.when((F.col("lang") == lang) & (F.col("record_table") == column), F.lit(value)).otherwise(at)
+    rows = rows.withColumn("own", F.coalesce(F.col("torn") | (~F.col("stopped") & (F.col("trailing") | (F.col("evidence") < at))), F.lit(False)))
     limited = rows.where("piled").groupBy(F.col("record_table").alias("lt"), F.col("source").alias("ls")).agg(F.avg(F.col("own").cast("double")).alias("share")).where(F.col("share") >= LIMIT_SHARE).select("lt", "ls", F.lit(True).alias("limited"))
     judged = rows.join(limited, F.col("record_table").eqNullSafe(F.col("lt")) & F.col("source").eqNullSafe(F.col("ls")), "left").withColumn("limited", F.coalesce("limited", F.lit(False)))
     at_limit = F.col("piled") & F.col("limited")
