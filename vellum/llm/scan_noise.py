@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.runtime import broadcast_if_small, cut
+from vellum.runtime import broadcast_if_small, cut, stored
 
 #: Single characters that stand for one another, mapped to one of them.
 SAME_SHAPE = ("ec", "q9g", "l1!|i", "0o", "5s", "@a", "†t")
@@ -100,7 +100,7 @@ def classified_lines(records: DataFrame) -> DataFrame:
         .withColumn("ahead", F.when(F.col("core").isNotNull(), skeleton(F.substring(F.coalesce("ahead", F.lit("")), 1, 40))))
         .drop("short", "bare")
     )
-    lines = cut(lines)
+    lines = stored(lines)
     # One row per record and core first, so that both counts are exact without sets.
     cores = (
         lines.where("core IS NOT NULL").groupBy("source", "core", "record_table", "record_id")
@@ -218,15 +218,15 @@ def repairs(bodies: DataFrame) -> DataFrame:
 
 def found_noise(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     """(record_table, record_id, noise_kind, repaired) of every disturbance."""
-    lines = cut(classified_lines(scanned_records(pages, candidates)))
+    lines = stored(classified_lines(scanned_records(pages, candidates)))
     whole = lines.where(F.col("role").isin("header", "page_number")).select("record_table", "record_id", F.col("role").alias("noise_kind"), F.col("t").alias("repaired"))
-    words = repairs(cut(body_lines(lines))).select("record_table", "record_id", "noise_kind", "repaired")
+    words = repairs(stored(body_lines(lines))).select("record_table", "record_id", "noise_kind", "repaired")
     return whole.unionByName(words).distinct()
 
 
 def repaired_text(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     """(record_table, record_id, text): continuous paragraphs, without heads and numbers, every word repaired in its place."""
-    bodies = cut(body_lines(cut(classified_lines(scanned_records(pages, candidates)))))
+    bodies = stored(body_lines(stored(classified_lines(scanned_records(pages, candidates)))))
     fixes = repairs(bodies).groupBy("record_table", "record_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "repaired"))).alias("fixes"))
 
     def mend(x: Column, i: Column) -> Column:
