@@ -17,7 +17,7 @@ def none(spark, data, tmp_path_factory):
 
 
 #: Confidences and container numbers depend on batches in their last digits or by name; their keys must agree.
-LOOSE = {"p10_languages": ["doc_id", "seg_no", "lang"], "p8_containers": ["doc_id", "piece_no", "tokens"]}
+LOOSE = {"p10_languages": ["doc_id", "seg_no", "lang"], "p10_segments": ["doc_id", "seg_no", "run_no", "first_word", "words", "lang"], "p8_containers": ["doc_id", "piece_no", "tokens"]}
 
 
 @pytest.mark.parametrize("name", sorted(Q.queries()))

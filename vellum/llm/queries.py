@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_found": lambda s, d: leakage.found_leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p10_found": lambda s, d: language_crf.found_languages(table(s, d, "documents")),
         "p10_languages": lambda s, d: language_crf.document_languages(table(s, d, "documents")),
+        "p10_segments": lambda s, d: language_crf.mixed_segments(table(s, d, "documents")),
     }
 
 
