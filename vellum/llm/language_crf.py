@@ -215,13 +215,13 @@ def training_rows(documents: DataFrame, per_language: int = TRAIN_DOCUMENTS) ->
     """(language, text) of a bounded sample of labelled documents, by hash of the key."""
     rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", label_language(F.col("lang")).alias("lang"), "text").where(F.col("lang").rlike(_CODE))
     # At most 26 * 26 codes.
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect() if r["count"] >= LANGUAGE_DOCUMENTS}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct("doc_id").alias("n")).collect() if r["n"] >= LANGUAGE_DOCUMENTS}
     if not counts:
         return []
     # A first thinning by hash keeps the ranking window small however common a language is.
     share = F.create_map(*[F.lit(x) for k, c in sorted(counts.items()) for x in (k, min(1.0, 2.0 * per_language / c))])
     spot = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000)) / 1_000_000
-    thinned = rows.where(spot < F.try_element_at(share, F.col("lang")))
+    thinned = rows.where(spot < F.try_element_at(share, F.col("lang"))).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(10)), "doc_id", "text"))
     chosen = thinned.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "r", "text").collect()  # at most per_language for every code
     return [(r["lang"], r["text"]) for r in sorted(chosen, key=lambda r: (r["lang"], r["r"]))]
