@@ -82,3 +82,17 @@ def page_distance(page: Column, start: Column, end: Column) -> Column:
     """0 inside [start, end], else the distance; the end defaults to the start."""
     last = F.coalesce(end, start)
     return F.when(page.isNull() | start.isNull(), F.lit(None).cast("int")).when(page < start, start - page).when(page > last, page - last).otherwise(F.lit(0))
+
+
+def coordinate_modes(box: Column, norm: Column, width: Column, height: Column) -> Column:
+    """array(struct(mode, distance)): how far a box, read as pixels, thousandths or pixels with axes swapped, is from the known one."""
+    sides = (width, height, width, height)
+
+    def away(at: tuple, scaled: bool) -> Column:
+        return sum((F.abs((box[i] * 1000.0 / sides[i] if scaled else box[i]) - norm[k]) for k, i in enumerate(at)), F.lit(0.0))
+
+    return F.array(
+        F.struct(F.lit("pixels").alias("mode"), away((0, 1, 2, 3), True).alias("distance")),
+        F.struct(F.lit("norm1000").alias("mode"), away((0, 1, 2, 3), False).alias("distance")),
+        F.struct(F.lit("swapped").alias("mode"), away((1, 0, 3, 2), True).alias("distance")),
+    )

@@ -105,11 +105,15 @@ def parse_objects(text: pd.Series) -> pd.DataFrame:
 def first_object(text: pd.Series) -> pd.Series:
     """The first object of a text as canonical JSON, mended if need be; null if there is none."""
     def one(t):
-        found = objects_in(t or "")
-        if not found and t and "{" in t:
-            value = _load(mended(t[t.index("{"):]))
-            found = [value] if isinstance(value, dict) else []
-        return canonical(found[0]) if found else None
+        start = (t or "").find("{")
+        if start < 0:
+            return None
+        # What the text breaks off in comes before what is whole inside it.
+        whole = any(a == start for a, _ in balanced(t)[0])
+        value = ... if whole else _load(mended(t[start:]))
+        if not isinstance(value, dict):
+            value = next(iter(objects_in(t)), None)
+        return None if value is None else canonical(value)
 
     return text.map(one)
 

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.runtime import join_facts
+
 
 # -- joins ---------------------------------------------------------------------------------------------------------
 
@@ -47,6 +49,11 @@ def pending(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def settled(done: DataFrame, status: str, retry: Sequence[str]) -> DataFrame:
+    """Of what was done, all but what is to be tried again."""
+    return done.where(~F.col(status).isin(*retry))
+
+
 # -- first, last, top ----------------------------------------------------------------------------------------------
 
 def keep_first(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -68,6 +75,12 @@ def top_per_group_salted(rows: DataFrame, keys: Sequence[str], order: Sequence[C
     return top_per_group(part, keys, order, k, rank)
 
 
+def keep_ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], upto: Column, forced: Column) -> DataFrame:
+    """The first ``upto`` rows of every key, and those that are forced."""
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.coalesce(forced, F.lit(False)) | (F.col("_rn") <= upto)).drop("_rn")
+
+
 # -- aggregates ----------------------------------------------------------------------------------------------------
 
 def counts_with_rate(rows: DataFrame, key: str, flag: Column) -> DataFrame:
@@ -82,10 +95,16 @@ def metric_summary(rows: DataFrame, group: str, metrics: Sequence[str]) -> DataF
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str, q: float) -> DataFrame:
-    """The value at index round((n - 1) q), half-even, of the sorted values, without interpolation."""
-    order = Window.partitionBy(group).orderBy(value)
-    numbered = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(group)))
-    return numbered.where(F.col("_i") == F.bround((F.col("_n") - 1) * F.lit(q), 0)).select(group, F.col(value).alias("value"), F.col("_n").alias("n"))
+    """The value at index round((n - 1) q), half-even, of the sorted values, without interpolation.
+
+    Values are counted first, and the running counts go over distinct values: a group of any size is as many rows as it
+    has values, and no row of the input is ranked.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(group)
+    running = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    at = F.bround((F.col("_n") - 1) * F.lit(q), 0)
+    return running.where((F.col("_upto") > at) & (F.col("_upto") - F.col("_c") <= at)).select(group, F.col(value).alias("value"), F.col("_n").alias("n"))
 
 
 def split_leaks(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
@@ -108,10 +127,33 @@ def prefix_states(rows: DataFrame, key: str, order: Sequence[str], value: str, l
 
 
 def normalised_advantages(rows: DataFrame, group: str, value: str, floor: float = 1e-6) -> DataFrame:
-    """(x - mean) / population deviation within the group, 0 where the deviation is under ``floor``."""
-    w = Window.partitionBy(group)
-    mean, dev = F.avg(value).over(w), F.stddev_pop(value).over(w)
-    return rows.withColumn("advantage", F.when(dev < floor, F.lit(0.0)).otherwise(F.round((F.col(value) - mean) / dev, 6)))
+    """(x - mean) / population deviation within the group, 0 where the deviation is under ``floor``.
+
+    Mean and deviation are one aggregated row per group; the rows meet them without being gathered by group.
+    """
+    facts = rows.groupBy(F.col(group).alias("_g")).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_dev"))
+    met = rows.withColumn("_g", F.col(group)).drop(group)
+    joined = join_facts(met, facts.where("_g IS NOT NULL"), "_g").withColumnRenamed("_g", group)
+    return joined.withColumn("advantage", F.when(F.col("_dev") < floor, F.lit(0.0)).otherwise(F.round((F.col(value) - F.col("_mean")) / F.col("_dev"), 6))).drop("_mean", "_dev")
+
+
+def owned(rows: DataFrame, group: str, label: str, order: Column) -> DataFrame:
+    """Every row with ``owner``: the label of its group's first row; one aggregated row per group is joined back."""
+    first = rows.groupBy(group).agg(F.min_by(label, order).alias("owner"))
+    return join_facts(rows, first, group)
+
+
+def strongest_label(rows: DataFrame, keys: Sequence[str], label: str, score: str, order: Sequence[str] = ("support", "wrong_target", "contradict", "weak_support")) -> DataFrame:
+    """Per key the first label of ``order`` that any row has, else no_support, and the best score (null counts 0); rows without label are left out."""
+    out = F.lit("no_support")
+    for name in reversed(order):
+        out = F.when(F.bool_or(F.col(label) == name), name).otherwise(out)
+    return rows.where(F.col(label).isNotNull()).groupBy(*keys).agg(out.alias("label"), F.max(F.coalesce(score, F.lit(0.0))).alias("best"))
+
+
+def nested(rows: DataFrame, key: str, columns: Sequence[str], out: str) -> DataFrame:
+    """One row per key with an array of structs of its rows (the result is as large as the key's rows; nothing else is)."""
+    return rows.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias(out))
 
 
 def without_repeats(rows: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
@@ -121,10 +163,15 @@ def without_repeats(rows: DataFrame, key: str, order: Sequence[str], value: str)
     return kept.drop("_b").withColumn("step", F.row_number().over(w) - 1)
 
 
-def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int) -> DataFrame:
-    """Rows with ``kept``: the first ``cap`` of every key (the cap is the feature)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).withColumn("kept", F.col("_rn") <= cap).drop("_rn")
+def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], cap: int, salts: int = 32) -> DataFrame:
+    """Rows with ``kept``: the first ``cap`` of every key (the cap is the feature).
+
+    A row beyond the cap of its salted part is beyond that of its key; only the first of each part are ranked again.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    ranked = salted.withColumn("_part", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)))
+    near = ranked.where(F.col("_part") <= cap).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return near.withColumn("kept", F.col("_rn") <= cap).drop("_salt", "_part", "_rn").unionByName(ranked.where(F.col("_part") > cap).withColumn("kept", F.lit(False)).drop("_salt", "_part"))
 
 
 def copies(rows: DataFrame, times: Column) -> DataFrame:
@@ -155,6 +202,15 @@ def union_with_origin(parts: dict[str, DataFrame], key: str) -> DataFrame:
     return out.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn", "_rank")
 
 
+def first_origin(parts: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, origin, origins): the first part that has a key, and how many have it; one mergeable aggregate."""
+    out = None
+    for rank, (name, part) in enumerate(parts.items()):
+        p = part.select(key, F.lit(name).alias("_o"), F.lit(rank).alias("_r"))
+        out = p if out is None else out.unionByName(p)
+    return out.groupBy(key).agg(F.min_by("_o", "_r").alias("origin"), F.count_distinct("_o").alias("origins"))
+
+
 def changes_between(before: Column, after: Column) -> Column:
     """struct(added, removed) of two arrays as sets, sorted."""
     return F.struct(F.array_sort(F.array_except(after, before)).alias("added"), F.array_sort(F.array_except(before, after)).alias("removed"))

@@ -44,6 +44,11 @@ def prefix_sums(rows: DataFrame, order: Sequence[str], value: str, out: str = "b
     return ranged.join(F.broadcast(offsets), "_part").withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)) + F.col("_o")).drop("_part", "_o")
 
 
+def numbered(rows: DataFrame, order: Sequence[str], out: str = "n", parts: int = 64) -> DataFrame:
+    """1-based number of every row in the whole order, without a single-task window (ties in any order)."""
+    return prefix_sums(rows.withColumn("_one", F.lit(1).cast("bigint")), order, "_one", "_before", parts).withColumn(out, (F.col("_before") + 1).cast("bigint")).drop("_one", "_before")
+
+
 def ratio_split(rows: DataFrame, stratum: str, key: str, val: float = 0.10, test: float = 0.15, seed: int = 7) -> DataFrame:
     """Per stratum: train first, then round(n val) and round(n test) rows (half-even, at least 1 from 10 rows on)."""
     sizes = rows.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))

@@ -71,11 +71,33 @@ def d2_noise_by_source(t):
     return noise.noise_by_source(_classified(t))
 
 
-@BOOK.query("b7_repeated_title", """
-WITH l AS (SELECT page_id, list_filter(list_transform(string_split(coalesce(text_preview, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM (SELECT DISTINCT page_id, text_preview FROM page_specs))
-SELECT page_id, len(ls) >= 6 AND len(list_distinct(ls)) * 1.0 / greatest(1, len(ls)) <= 0.45 AS repeated FROM l""")
+_TITLE_SQL = """
+l AS (SELECT id, x, list_filter(list_transform(string_split(coalesce(x, ''), chr(10)), lambda y: trim(y)), lambda y: y <> '') AS ls FROM r),
+f AS (SELECT id, x, len(ls) >= 6 AND (len(list_distinct(ls)) * 1.0 / greatest(1, len(ls)) <= 0.45 OR """ + _HITS("lower(coalesce(x, ''))", noise.TITLE_TERMS) + """ >= 2) AS repeated FROM l)"""
+
+
+def _padded(text):
+    """The text as it stands, or as the title page some of the pages would be: their own lines three times, with its terms."""
+    return F.when(F.pmod(F.length(text), F.lit(3)) == 0, F.concat_ws("\n", text, text, text)).when(F.pmod(F.length(text), F.lit(3)) == 1, F.concat_ws("\n", F.lit("Copyright"), F.lit("ISBN 1"), F.lit("a\nb\nc"), text)).otherwise(text)
+
+
+_PADDED_SQL = "CASE WHEN length({x}) % 3 = 0 THEN concat_ws(chr(10), {x}, {x}, {x}) WHEN length({x}) % 3 = 1 THEN concat_ws(chr(10), 'Copyright', 'ISBN 1', 'a' || chr(10) || 'b' || chr(10) || 'c', {x}) ELSE {x} END"
+
+
+@BOOK.query("b7_repeated_title", f"WITH r AS (SELECT DISTINCT page_id AS id, {_PADDED_SQL.format(x='text_preview')} AS x FROM page_specs), {_TITLE_SQL} SELECT id AS page_id, repeated FROM f")
 def b7_repeated_title(t):
-    return t.page_specs.select("page_id", "text_preview").distinct().select("page_id", noise.repeated_title_page(F.col("text_preview")).alias("repeated"))
+    return t.page_specs.select("page_id", "text_preview").distinct().select("page_id", noise.repeated_title_page(_padded(F.col("text_preview"))).alias("repeated"))
+
+
+@BOOK.query("b5_passage_roles", f"""
+WITH r AS (SELECT DISTINCT pair_id AS id, candidate_kind AS k, {_PADDED_SQL.format(x='fragment_text')} AS x FROM support_candidates), {_TITLE_SQL.replace('SELECT id, x,', 'SELECT id, k, x,')},
+o AS (SELECT *, lower(coalesce(x, '')) AS low FROM f)
+SELECT id AS pair_id, CASE WHEN k = 'wrong_target_caption' THEN 'ocr_noise' WHEN {_ANY('low', noise.LIST_TERMS)} OR (len(regexp_extract_all(low, '{noise.YEAR}')) >= 3 AND {_HITS('low', noise.CITATION_TERMS)} >= 1) OR len(regexp_extract_all(low, '{noise.PAGE_LIST}')) >= 4 THEN 'bibliography' WHEN repeated THEN 'front_matter'
+ WHEN regexp_matches(low, '{noise.OBJECT_TERMS}') THEN 'object_metadata' WHEN regexp_matches(low, '{noise.PLATE_TERMS}') THEN 'caption_or_plate' WHEN {_ANY("coalesce(x, '')", noise.STYLE_TERMS)} THEN 'style_analysis' ELSE 'historical_context' END AS role FROM o""")
+def b5_passage_roles(t):
+    s = t.support_candidates.select("pair_id", "candidate_kind", "fragment_text").distinct()
+    kind = F.when(F.col("candidate_kind") == "wrong_target_caption", "ocr_noise").otherwise("normal_body_text")
+    return s.select("pair_id", noise.passage_role(_padded(F.col("fragment_text")), kind).alias("role"))
 
 
 @BOOK.query("b10_reason_gate", f"""
@@ -113,18 +135,25 @@ def c7_support_lists(t):
     return s.groupBy("task_id", "field").agg(F.array_join(F.array_sort(F.collect_set("evidence_id")), ",").alias("evidence_ids"), F.count_distinct("evidence_id").alias("n"))
 
 
-@BOOK.query("c8_nested", f"SELECT f.target_id, count(s.pair_id) AS fragments, count(DISTINCT s.field) AS fields, count(*) FILTER (WHERE s.rule_label = 'support') AS supporting FROM {FIG} f LEFT JOIN {SUP} s ON s.task_id = f.target_id GROUP BY f.target_id")
+@BOOK.query("c8_nested", f"SELECT f.target_id, count(s.pair_id) AS fragments, count(DISTINCT s.field) AS fields, count(*) FILTER (WHERE s.rule_label = 'support') AS supporting FROM (SELECT DISTINCT target_id FROM figure_targets) f LEFT JOIN {SUP} s ON s.task_id = f.target_id GROUP BY f.target_id")
 def c8_nested(t):
-    nest = _sup(t).groupBy("task_id").agg(F.collect_list(F.struct("pair_id", "field", "rule_label")).alias("xs"))
-    j = _fig(t).select("target_id").join(nest, F.col("target_id") == F.col("task_id"), "left").withColumn("xs", F.coalesce("xs", F.array().cast("array<struct<pair_id:string,field:string,rule_label:string>>")))
-    return j.groupBy("target_id").agg(F.sum(F.size("xs")).cast("bigint").alias("fragments"), F.max(F.size(F.array_distinct(F.transform("xs", lambda x: x["field"])))).cast("bigint").alias("fields"), F.sum(F.size(F.filter("xs", lambda x: x["rule_label"] == "support"))).cast("bigint").alias("supporting"))
+    per = _sup(t).groupBy("task_id").agg(F.count("*").alias("fragments"), F.count_distinct("field").alias("fields"), F.count_if(F.col("rule_label") == "support").alias("supporting"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    # Rows that differ elsewhere are one target.
+    return _fig(t).select("target_id").distinct().join(per, F.col("target_id") == F.col("task_id"), "left").select("target_id", none("fragments"), none("fields"), none("supporting"))
+
+
+@BOOK.query("c8_nested_texts", f"SELECT f.target_id, array_to_string(list_sort(list(s.field || ':' || coalesce(s.fragment_text, '')) FILTER (WHERE s.pair_id IS NOT NULL)), chr(10)) AS nested FROM (SELECT DISTINCT target_id FROM figure_targets) f JOIN {SUP} s ON s.task_id = f.target_id GROUP BY f.target_id")
+def c8_nested_texts(t):
+    nest = R.nested(_sup(t).where("task_id IS NOT NULL"), "task_id", ["field", "fragment_text"], "xs")
+    line = F.transform("xs", lambda x: F.concat(x["field"], F.lit(":"), F.coalesce(x["fragment_text"], F.lit(""))))
+    return _fig(t).select("target_id").distinct().join(nest, F.col("target_id") == F.col("task_id")).select("target_id", F.array_join(F.array_sort(line), "\n").alias("nested"))
 
 
 @BOOK.query("c9_label_precedence", f"""
-SELECT task_id, field, arg_min(rule_label, CASE rule_label WHEN 'support' THEN 0 WHEN 'wrong_target' THEN 1 WHEN 'ambiguous' THEN 2 WHEN 'no_support' THEN 3 ELSE 4 END) AS label, max(rule_confidence) AS best FROM {SUP} WHERE task_id IS NOT NULL AND rule_label IS NOT NULL GROUP BY 1, 2""")
+SELECT task_id, field, coalesce(CASE WHEN bool_or(rule_label = 'support') THEN 'support' WHEN bool_or(rule_label = 'wrong_target') THEN 'wrong_target' WHEN bool_or(rule_label = 'contradict') THEN 'contradict' WHEN bool_or(rule_label = 'weak_support') THEN 'weak_support' END, 'no_support') AS label, max(coalesce(rule_confidence, 0)) AS best FROM {SUP} WHERE task_id IS NOT NULL AND rule_label IS NOT NULL GROUP BY 1, 2""")
 def c9_label_precedence(t):
-    rank = F.when(F.col("rule_label") == "support", 0).when(F.col("rule_label") == "wrong_target", 1).when(F.col("rule_label") == "ambiguous", 2).when(F.col("rule_label") == "no_support", 3).otherwise(4)
-    return _sup(t).where("task_id IS NOT NULL AND rule_label IS NOT NULL").groupBy("task_id", "field").agg(F.min_by("rule_label", rank).alias("label"), F.max("rule_confidence").alias("best"))
+    return R.strongest_label(_sup(t).where("task_id IS NOT NULL"), ["task_id", "field"], "rule_label", "rule_confidence")
 
 
 @BOOK.query("c10_semi", f"SELECT target_id, source_file FROM {FIG} f WHERE EXISTS (SELECT 1 FROM {SUP} s WHERE s.task_id = f.target_id AND s.rule_label = 'support')")
@@ -246,10 +275,9 @@ def w7_running_cap(t):
     return R.capped(_sup(t), ["source_file", "field"], [F.desc_nulls_last("priority"), F.col("pair_id")], 5).select("pair_id", "kept")
 
 
-@BOOK.query("w8_owner_split", f"SELECT DISTINCT target_id, first_value(split) OVER (PARTITION BY source_file ORDER BY page_num NULLS LAST, target_id) AS owner FROM {FIG} WHERE split IS NOT NULL")
+@BOOK.query("w8_owner_split", f"SELECT DISTINCT target_id, arg_min(split, struct_pack(a := coalesce(page_num, 2147483647), b := target_id, c := split)) OVER (PARTITION BY source_file) AS owner FROM {FIG} WHERE split IS NOT NULL AND source_file IS NOT NULL")
 def w8_owner_split(t):
-    w = Window.partitionBy("source_file").orderBy(F.asc_nulls_last("page_num"), "target_id")
-    return _fig(t).where("split IS NOT NULL").select("target_id", F.first("split").over(w).alias("owner")).distinct()
+    return R.owned(_fig(t).where("split IS NOT NULL AND source_file IS NOT NULL"), "source_file", "split", F.struct(F.coalesce("page_num", F.lit(2147483647)), "target_id", "split")).select("target_id", "owner").distinct()
 
 
 @BOOK.query("w10_no_repeats", """

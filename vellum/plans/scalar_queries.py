@@ -230,17 +230,6 @@ def f51_confidence_buckets(t):
     return t.support_candidates.groupBy(M.confidence_bucket(F.col("rule_confidence")).alias("bucket"), "field").agg(F.count_distinct("pair_id").alias("pairs"))
 
 
-@BOOK.query("f68_canonical_json", """
-WITH kv AS (SELECT feed, file_name, line_no, unnest(json_keys(payload)) AS k, payload FROM (SELECT DISTINCT feed, file_name, line_no, payload FROM target_exports))
-SELECT feed, file_name, line_no, string_agg(k || '=' || coalesce(json_extract_string(payload, k), 'null'), ';' ORDER BY k) AS canonical FROM kv WHERE k NOT IN ('tags', 'object_type', 'image_scope', 'objectType', 'obj_type', 'kind_of_object', 'depicted_kind', 'scope', 'img_scope', 'imageScope', 'displayed_extent') GROUP BY feed, file_name, line_no""")
-def f68_canonical_json(t):
-    skip = ("tags", "object_type", "image_scope", "objectType", "obj_type", "kind_of_object", "depicted_kind", "scope", "img_scope", "imageScope", "displayed_extent")
-    rows = t.target_exports.select("feed", "file_name", "line_no", "payload").distinct()
-    m = F.from_json("payload", "map<string,string>")
-    kept = F.filter(F.array_sort(F.map_keys("m")), lambda k: ~k.isin(*skip))
-    return rows.withColumn("m", m).select("feed", "file_name", "line_no", F.array_join(F.transform(kept, lambda k: F.concat(k, F.lit("="), F.coalesce(F.try_element_at("m", k), F.lit("null")))), ";").alias("canonical"))
-
-
 @BOOK.query("f78_durations", "SELECT target_id, round(date_diff('second', recorded_at, ingested_at) / 60.0, 2) AS minutes, strftime(recorded_at, '%Y%m%d_%H%M%S') AS tag FROM (SELECT DISTINCT target_id, recorded_at, ingested_at FROM figure_targets)")
 def f78_durations(t):
     s = t.figure_targets.select("target_id", "recorded_at", "ingested_at").distinct()

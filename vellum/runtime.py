@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast by hand only when its measured size stays below this.
 BROADCAST_ROWS = 200_000
+#: A key is hot when it holds more than one in so many of all rows; so there are at most as many hot keys.
+HOT_SHARE = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +113,24 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, limit: int = BROADCAST_ROWS, computed: bool = False) -> DataFrame:
+    """Left join of many rows per key with at most one row of facts per key, without a hot key in one task.
+
+    Few facts are broadcast. Else the keys that hold more than one row in ``HOT_SHARE`` of all, at most ``HOT_SHARE`` of
+    them, take theirs by broadcast and all others by shuffle. ``computed`` says that the facts only read a stored table.
+    """
+    facts = facts if computed else cut(facts)
+    if facts.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(facts), key, "left")
+    counts = cut(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("_n") > max(1, total // HOT_SHARE)).select(key, F.lit(True).alias("_hot")))
+    marked = rows.join(hot, key, "left")
+    few = F.broadcast(facts.join(hot.select(key), key, "left_semi"))
+    often = marked.where("_hot").drop("_hot").join(few, key, "left")
+    return often.unionByName(marked.where("_hot IS NULL").drop("_hot").join(facts, key, "left"))
+
+
 def local_session(app: str = "vellum", cores: str | int = "*", shuffle: int = 8) -> SparkSession:
     """A session for tests and the bench; on a cluster pass the cluster's own session instead."""
     return (

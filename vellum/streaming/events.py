@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,26 @@ def replayed(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.count("*").alias("steps"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.sum("value"), 4).alias("total"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event"))
 
 
+def _steps(events: DataFrame) -> Window:
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+def running_episodes(events: DataFrame, end: str, most: int) -> DataFrame:
+    """Every step of every episode until it ends (event ``end``, or ``most`` steps): step, errors so far, does it end here."""
+    w = _steps(events)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    s = events.select("event_id", "user_id", "ts", "event_type").withColumn("step", F.row_number().over(w)).withColumn("errors", F.count_if(F.col("event_type") == "error").over(upto)).withColumn("_ends", F.count_if(F.col("event_type") == end).over(before))
+    return s.where((F.col("_ends") == 0) & (F.col("step") <= most)).withColumn("terminated", (F.col("event_type") == end) | (F.col("step") == most)).drop("_ends")
+
+
+def replayed_matches(events: DataFrame, match: str, after: str, cap: int) -> DataFrame:
+    """Steps of type ``match`` that the replayed episode reaches after an ``after``, at most ``cap`` per user (the cap is the feature)."""
+    w = _steps(events)
+    s = events.select("event_id", "user_id", "ts", "event_type").withColumn("step", F.row_number().over(w)).withColumn("_b", F.count_if(F.col("event_type") == after).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    hit = s.where((F.col("event_type") == match) & (F.col("_b") > 0)).withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy("step")))
+    return hit.where(F.col("_n") <= cap).drop("_b", "_n")
+
+
 def resumable(rows: DataFrame, keys: Sequence[str], at: str | None = None, delay: str = "1 hour") -> DataFrame:
     """First row per key of an append stream; with an event time, state older than ``delay`` is dropped."""
     if rows.isStreaming and at:
