@@ -88,6 +88,21 @@ def test_mapping(value, entry):
     assert BOOK.meant(value) == entry
 
 
+def test_ties_and_wrong_signs():
+    """Equally near entries are none, unless one is written more often; a strange sign in a Chinese name is an error, a known one another name."""
+    assert canonical.Reference([(1, "Aral", None, 0), (2, "Aril", None, 0)]).meant("Arxl") == -1
+    assert canonical.Reference([(1, "Aral", None, 0), (2, "Aril", None, 3)]).meant("Arxl") == 2
+    book = canonical.Reference([(1, "a", "柘溪大学画廊", 0), (2, "b", "楫口市立博物馆", 0), (3, "c", "楫口美术馆", 0)])
+    assert [book.meant(v) for v in ("柘溪大字画廊", "柘溪大学画", "楫口大学画廊", "楫口美术馆藏", "溪柘大学画廊")] == [1, 1, -1, 3, 1]
+
+
+def test_joined_lookup_equals_broadcast(spark, data):
+    entries = spark.read.parquet(f"{data}/authority_entries.parquet")
+    targets = spark.read.parquet(f"{data}/figure_targets.parquet")
+    near, far = (sorted(map(tuple, canonical.mapped_values(targets, entries, n).collect())) for n in (canonical.BROADCAST_ENTRIES, 0))
+    assert near == far and near
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcdef", max_size=7), st.text("abcdef", max_size=7))
 def test_deletions_find_all_near_words(a, b):
@@ -132,6 +147,40 @@ def test_groups_against_union_find(spark):
     assert dealt.count() == 600 and dealt.groupBy("group_key").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
 
 
+def test_forest_spans_and_has_no_cycle(spark):
+    rng = random.Random(6)
+    edges = [(f"n{rng.randrange(120):03}", f"n{rng.randrange(120):03}") for _ in range(150)]
+    roots, forest = related_splits.spanning_forest(spark.createDataFrame(edges, "u string, v string"))
+    parent = {r["node"]: r["node"] for r in roots.collect()}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    trees = forest.collect()
+    for u, v in trees:
+        assert find(u) != find(v)
+        parent[find(u)] = find(v)
+    assert len({find(n) for n in parent}) == roots.select("root").distinct().count() and all(find(u) == find(v) for u, v in edges if u != v)
+
+
+def test_shares_with_large_groups(spark):
+    sizes = [300, 90, 70, 60, 55, 40, 35, 30, 30, 25] + [rng for rng in range(1, 24)]
+    rows = [(f"t{i}-{k}", f"d{i}", f"f{i}.pdf", None, "") for i, n in enumerate(sizes) for k in range(n)]
+    n = {r["split"]: r["share"] for r in related_splits.split_report(figures(spark, rows)).collect()}
+    assert abs(n["train"] - 0.75) < 0.01 and abs(n["val"] - 0.1) < 0.01 and abs(n["test"] - 0.15) < 0.01
+
+
+def test_hot_keys_meet_their_facts_by_broadcast(spark):
+    from vellum.runtime import join_facts
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id").unionByName(spark.createDataFrame([(None, -1)], "k long, id long"))
+    facts = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    want = sorted((r["id"], r["v"]) for r in rows.join(facts, "k", "left").collect() if r["v"] is not None)
+    assert sorted((r["id"], r["v"]) for r in join_facts(rows, facts, "k", limit=0).collect() if r["v"] is not None) == want
+
+
 def test_long_chain_contracts(spark):
     edges = spark.createDataFrame([(f"n{i:04}", f"n{i + 1:04}") for i in range(80)], "u string, v string")
     roots, forest = related_splits.spanning_forest(edges)
@@ -312,6 +361,8 @@ def test_leaks_against_brute_force(spark):
     want = {(d, i) for d, t in docs if t for i, x in items if grams(t) & grams(x)}
     got = {tuple(r) for r in leakage.found_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")).collect()}
     assert got == want and len(want) > 10
+    far = leakage.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string"), limit=0)
+    assert {(r["doc_id"], r["item_id"]) for r in far.collect()} == want
 
 
 # -- 10 --------------------------------------------------------------------------------------------------------------

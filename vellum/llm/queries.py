@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": lambda s, d: canonical.found_entries(table(s, d, "figure_targets"), table(s, d, "authority_entries")),
         "p5_found": lambda s, d: related_splits.found_groups(table(s, d, "figure_targets")),
         "p5_splits": lambda s, d: related_splits.dealt_splits(table(s, d, "figure_targets")),
+        "p5_forest": lambda s, d: related_splits.relation_forest(table(s, d, "figure_targets")),
+        "p5_report": lambda s, d: related_splits.split_report(table(s, d, "figure_targets")),
         "p6_found": lambda s, d: truncation.found_cuts(table(s, d, "figure_targets"), table(s, d, "support_candidates")),
         "p6_rates": lambda s, d: truncation.cut_rates(table(s, d, "figure_targets"), table(s, d, "support_candidates")),
         "p7_found": lambda s, d: split_overlap.found_overlaps(table(s, d, "figure_targets"), table(s, d, "page_candidates")),

@@ -48,6 +48,8 @@ LIMIT_PILE, LIMIT_TEXTS = 3, 5
 LIMIT_SHARE = 0.4
 #: Bits of the filter of end contexts (a fixed 8 MB, whatever the data), and keys a task holds before it hands them on.
 FILTER_BITS, HELD_KEYS = 1 << 26, 2_000_000
+#: Contexts of an order that are counted in one array.
+DENSE_CONTEXTS = 4_000_000
 #: Characters of texts that a kernel reads at a time.
 PIECE_CHARS = 1_000_000
 
@@ -225,6 +227,56 @@ def _end_filter(wanted: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _passing(keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    slot = keys.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return ((seen[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def inner_keys(codes: np.ndarray, lengths: np.ndarray, weights: np.ndarray, seed: int, orders: tuple, seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, weights) of the inner contexts that pass the filter, order by order.
+
+    A context can only pass where the shorter one does, so every order reads what the one before left. Short contexts
+    over a small alphabet are counted by number, without hashing a position.
+    """
+    size, seeds = len(codes), np.uint64(seed)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    stop = np.cumsum(lengths)
+    inside = np.arange(size) - (stop - lengths)[owner]
+    weight = weights[owner].astype(np.float64)
+    ids, symbols = pd.factorize(codes)
+    wide = max(1, len(symbols))
+    with np.errstate(over="ignore"):
+        power, back = np.ones(size + 1, dtype=np.uint64), np.ones(size + 1, dtype=np.uint64)
+        power[1:] = np.multiply.accumulate(np.full(size, _BASE, dtype=np.uint64))
+        back[1:] = np.multiply.accumulate(np.full(size, _BACK, dtype=np.uint64))
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((codes + np.uint64(1)) * power[:size], dtype=np.uint64)])
+        # The last position of a text is its end.
+        at = np.flatnonzero(np.arange(size) + 1 < stop[owner])
+        for n in orders:
+            at = at[inside[at] >= n - 1]
+            if wide**n <= DENSE_CONTEXTS:
+                number = np.zeros(len(at), dtype=np.int64)
+                for k in range(n - 1, -1, -1):
+                    number = number * wide + ids[at - k]
+                counts = np.bincount(number, weights=weight[at], minlength=1)
+                found = np.flatnonzero(counts)
+                plain, rest = np.zeros(len(found), dtype=np.uint64), found.copy()
+                for k in range(n - 1, -1, -1):
+                    plain += (symbols[rest % wide].astype(np.uint64) + np.uint64(1)) * power[k]
+                    rest //= wide
+                keys = _mixed(_mixed(plain + np.uint64(n)) ^ seeds).view(np.int64)
+                hit = _passing(keys, seen)
+                yield keys[hit], counts[found][hit].astype(np.int64)
+                passed = np.zeros(len(counts), dtype=bool)
+                passed[found[hit]] = True
+                at = at[passed[number]]
+            else:
+                keys = _mixed(_mixed((total[at + 1] - total[at + 1 - n]) * back[at + 1 - n] + np.uint64(n)) ^ seeds).view(np.int64)
+                hit = _passing(keys, seen)
+                at = at[hit]
+                yield keys[hit], weight[at].astype(np.int64)
+
+
 def inner_counts(forms: DataFrame, wanted: DataFrame) -> DataFrame:
     """(k, mid): how often the contexts that are wanted stand inside texts, by weight.
 
@@ -246,21 +298,20 @@ def inner_counts(forms: DataFrame, wanted: DataFrame) -> DataFrame:
 
         size = 0
         for b in batches:
-            for part in _pieces(b["chars"].tolist()):
-                langs, weight = b["lang"].iloc[part].tolist(), b["weight"].iloc[part].to_numpy(dtype=np.int64)
-                for column, kind, symbols, orders in FORMS:
-                    codes, lengths = symbols(b[column].iloc[part].tolist())
-                    for keys, owner, ends in context_keys(codes, lengths, _seeds(langs, kind), orders):
-                        slot = keys.view(np.uint64) & np.uint64(FILTER_BITS - 1)
-                        hit = ~ends & ((seen[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                        held.append((keys[hit], weight[owner[hit]]))
-                        size += int(hit.sum())
-                if size > 2 * HELD_KEYS:
-                    held = [summed()]
-                    size = len(held[0][0])
-                    if size > HELD_KEYS:
-                        yield pd.DataFrame({"k": held[0][0], "mid": held[0][1]})
-                        held, size = [], 0
+            for lang, own in b.groupby("lang", sort=True):
+                for part in _pieces(own["chars"].tolist()):
+                    weights = own["weight"].iloc[part].to_numpy(dtype=np.int64)
+                    for column, kind, symbols, orders in FORMS:
+                        codes, lengths = symbols(own[column].iloc[part].tolist())
+                        for keys, counts in inner_keys(codes, lengths, weights, int(_seeds([lang], kind)[0]), orders, seen):
+                            held.append((keys, counts))
+                            size += len(keys)
+                    if size > 2 * HELD_KEYS:
+                        held = [summed()]
+                        size = len(held[0][0])
+                        if size > HELD_KEYS:
+                            yield pd.DataFrame({"k": held[0][0], "mid": held[0][1]})
+                            held, size = [], 0
         if held:
             keys, counts = summed()
             yield pd.DataFrame({"k": keys, "mid": counts})
