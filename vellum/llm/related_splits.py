@@ -4,7 +4,7 @@ Records are related when they share a document or a file; that carries over. The
 (document, file) pairs first, so a file with a third of all rows is one node. Borůvka-style contraction then lets every
 component choose its smallest outgoing edge, writes the chosen edges to a persisted spanning forest and contracts;
 components at least halve in number per round. Roots are stratified by size band and dealt to splits: the largest, at
-most ``BIG_SHARE`` of them whatever the data, one by one to the split furthest below its share, the bands of all others
+most ``BIG_SHARE`` of them whatever the data, one by one to the split that lacks most records, the bands of all others
 systematically to what is left of the shares.
 
 Defined results: a null or empty doc_id or source_file relates nothing; a record with neither is its own group; null
@@ -112,11 +112,11 @@ def found_groups(targets: DataFrame) -> DataFrame:
 
 
 def dealt_big(sizes: list[tuple[str, int]], total: int, splits: tuple) -> tuple[dict[str, str], list[float]]:
-    """(split of every big group, records every split still lacks): from large to small to the split furthest below."""
+    """(split of every big group, records every split still lacks): from large to small to the split that lacks most."""
     lack = [share * total for _, share in splits]
     given = {}
     for group, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        k = max(range(len(splits)), key=lambda i: (lack[i] / splits[i][1], lack[i], -i))
+        k = max(range(len(splits)), key=lambda i: (round(lack[i], 6), -i))
         given[group] = splits[k][0]
         lack[k] -= n
     return given, [max(0.0, x) for x in lack]
