@@ -96,3 +96,19 @@ def coordinate_modes(box: Column, norm: Column, width: Column, height: Column) -
         F.struct(F.lit("norm1000").alias("mode"), away((0, 1, 2, 3), False).alias("distance")),
         F.struct(F.lit("swapped").alias("mode"), away((1, 0, 3, 2), True).alias("distance")),
     )
+
+
+def scale_suspicions(target: Column, caption: Column, width: Column, height: Column) -> Column:
+    """Reasons why pixel boxes may have been read as thousandths: their areas would be far larger; fixed limits."""
+    def raw(b):
+        return (b[2] - b[0]).cast("double") * (b[3] - b[1]) / (width.cast("double") * height)
+
+    def norm(b):
+        c = F.transform(b, lambda v: F.least(v, F.lit(1000)))
+        return (c[2] - c[0]).cast("double") * (c[3] - c[1]) / 1_000_000.0
+
+    named = F.size(caption) == 4
+    return F.array_compact(F.array(
+        F.when(named & (raw(caption) > 0) & (norm(caption) > raw(caption) * 1.45) & (norm(caption) > 0.01), F.lit("caption_larger")),
+        F.when((norm(target) > 0.35) & (raw(target) > 0.01) & (norm(target) > raw(target) * 1.45), F.lit("target_larger")),
+    ))

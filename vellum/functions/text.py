@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 CJK = r"[\x{4e00}-\x{9fff}]"
 #: Fixed value: a sentence, up to a Latin or CJK end or a line break.
 SENTENCE = r"[^。！？!?；;\n]+[。！？!?；;]?"
+#: Fixed value: a figure label.
+LABEL = r"(?i:图版|图|圖|figure|fig\.?|plate|pl\.|abb\.|tafel|ill\.)\s*[0-9]+[A-Za-z]?(?:[.-][0-9]+)*"
 #: Characters a complete sentence may end with.
 SENTENCE_ENDERS = "。！？；.!?;”’》】）)"
 

@@ -6,7 +6,9 @@ Readers are lazy and keep projection and filters at the scan where the format ha
 from __future__ import annotations
 
 import html
+import json
 import os
+import re
 import shutil
 from collections.abc import Sequence
 from pathlib import Path
@@ -63,6 +65,46 @@ def log_metrics(lines: DataFrame, text: str, order: str, step: str) -> DataFrame
     return found.where(F.col(step).isNotNull()).groupBy(step).agg(F.max_by("metrics", F.col(order)).alias("metrics"))
 
 
+def log_runs(lines: DataFrame, run: str, text: str, order: str, metric: str) -> DataFrame:
+    """(run, started, ended, rc, minutes, last): first START and END line of a run, and the last value of a metric.
+
+    Lines without a time, or runs without an END, leave their columns null; one mergeable aggregate over all lines.
+    """
+    plain = lines.withColumn("_l", F.regexp_replace(text, r"\x1b\[[0-9;]*m", ""))
+    start, end = F.regexp_extract("_l", r"^START (.+)$", 1), F.regexp_extract("_l", r"^END (.+) rc=[0-9]+", 1)
+    value = F.regexp_extract("_l", re.escape(metric) + r":(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)", 1)
+    first = lambda c, x: F.min_by(x, F.when(c, F.col(order)))
+    g = plain.groupBy(run).agg(
+        first(start != "", start).try_cast("timestamp").alias("started"), first(end != "", end).try_cast("timestamp").alias("ended"),
+        first(end != "", F.regexp_extract("_l", r"rc=([0-9]+)", 1)).try_cast("int").alias("rc"), F.max_by(value, F.when(value != "", F.col(order))).try_cast("double").alias("last"),
+    )
+    return g.withColumn("minutes", F.round(F.timestamp_diff("SECOND", F.col("started"), F.col("ended")) / 60.0, 2))
+
+
+def imported(rows: DataFrame, old_id: str, parts: Sequence[str]) -> DataFrame:
+    """Rows of an older store with their old id and the id this one gives them."""
+    key = F.concat(F.lit("ev_"), F.substring(F.sha1(F.concat_ws("|", *[F.col(p).cast("string") for p in parts])), 1, 20))
+    return rows.withColumn("old_id", F.col(old_id)).withColumn("new_id", key)
+
+
+def discovered_runs(spark: SparkSession, root: str, name: str = "train_log.jsonl") -> DataFrame:
+    """(run, path) of every folder below ``root`` that holds a log of that name."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root).select("path")
+    return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run"), "path").distinct()
+
+
+def write_json_document(rows: DataFrame, path: str) -> None:
+    """One small JSON document: the rows as an array; more than 10,000 rows are an error, not a cut."""
+    data = [json.loads(r["v"]) for r in rows.select(F.to_json(F.struct("*")).alias("v")).limit(10_001).collect()]
+    if len(data) > 10_000:
+        raise ValueError("a document of more than 10000 rows")
+    spark = rows.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(json.dumps(data, ensure_ascii=False).encode())
+    out.close()
+
+
 def text_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(name, text) of every *.txt of a folder."""
     files = spark.read.option("wholetext", True).text(f"{folder}/*.txt").select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1).alias("name"), F.col("value").alias("text"))
