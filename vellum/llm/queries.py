@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_rates": lambda s, d: truncation.cut_rates(table(s, d, "figure_targets"), table(s, d, "support_candidates")),
         "p7_found": lambda s, d: split_overlap.found_overlaps(table(s, d, "figure_targets"), table(s, d, "page_candidates")),
         "p7_report": lambda s, d: split_overlap.overlap_report(table(s, d, "figure_targets"), table(s, d, "page_candidates")),
+        "p7_classes": lambda s, d: split_overlap.overlap_classes(table(s, d, "figure_targets")),
         "p8_containers": lambda s, d: packing.packed(table(s, d, "documents")),
         "p8_report": lambda s, d: packing.packing_report(packing.packed(table(s, d, "documents"))),
         "p9_found": lambda s, d: leakage.found_leaks(table(s, d, "documents"), table(s, d, "eval_items")),

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.key_filter import key_filter, passing
 from vellum.runtime import broadcast_if_small, cut, stored
 
 CHAR_ORDERS = (1, 2, 3, 5, 8, 12)
@@ -46,8 +47,8 @@ EXCUSED = 0.5
 LIMIT_PILE, LIMIT_TEXTS = 3, 5
 #: Share of the texts of that length that must look cut by themselves: template texts pile up at a length, too.
 LIMIT_SHARE = 0.4
-#: Bits of the filter of end contexts (a fixed 8 MB, whatever the data), and keys a task holds before it hands them on.
-FILTER_BITS, HELD_KEYS = 1 << 26, 2_000_000
+#: Keys a task holds before it hands them on.
+HELD_KEYS = 2_000_000
 #: Contexts of an order that are counted in one array.
 DENSE_CONTEXTS = 4_000_000
 #: Characters of texts that a kernel reads at a time.
@@ -218,20 +219,6 @@ def text_states(records: DataFrame) -> DataFrame:
     return records.mapInPandas(forms, STATE)
 
 
-def _end_filter(wanted: DataFrame) -> bytes:
-    """A bit per slot of the wanted keys: at most FILTER_BITS / 64 rows reach the driver, whatever the data."""
-    slot = F.pmod("k", F.lit(FILTER_BITS))
-    rows = wanted.select(F.floor(slot / 64).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(k, {FILTER_BITS}) % 64 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    return out.tobytes()
-
-
-def _passing(keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    slot = keys.view(np.uint64) & np.uint64(FILTER_BITS - 1)
-    return ((seen[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-
-
 def inner_keys(codes: np.ndarray, lengths: np.ndarray, weights: np.ndarray, seed: int, orders: tuple, seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(keys, weights) of the inner contexts that pass the filter, order by order.
 
@@ -265,14 +252,14 @@ def inner_keys(codes: np.ndarray, lengths: np.ndarray, weights: np.ndarray, seed
                     plain += (symbols[rest % wide].astype(np.uint64) + np.uint64(1)) * power[k]
                     rest //= wide
                 keys = _mixed(_mixed(plain + np.uint64(n)) ^ seeds).view(np.int64)
-                hit = _passing(keys, seen)
+                hit = passing(keys, seen)
                 yield keys[hit], counts[found][hit].astype(np.int64)
                 passed = np.zeros(len(counts), dtype=bool)
                 passed[found[hit]] = True
                 at = at[passed[number]]
             else:
                 keys = _mixed(_mixed((total[at + 1] - total[at + 1 - n]) * back[at + 1 - n] + np.uint64(n)) ^ seeds).view(np.int64)
-                hit = _passing(keys, seen)
+                hit = passing(keys, seen)
                 at = at[hit]
                 yield keys[hit], weight[at].astype(np.int64)
 
@@ -283,7 +270,7 @@ def inner_counts(forms: DataFrame, wanted: DataFrame) -> DataFrame:
     Every inner position is read; positions whose context is no end context are dropped by a filter with false positives
     only, the rest is summed per task before the shuffle. The filter saves work, it decides nothing: the join does.
     """
-    bits = forms.sparkSession.sparkContext.broadcast(_end_filter(wanted))
+    bits = forms.sparkSession.sparkContext.broadcast(key_filter(wanted))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.frombuffer(bits.value, dtype=np.uint8)
