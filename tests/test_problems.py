@@ -55,6 +55,31 @@ def test_unified_table_takes_one_name_of_a_line(spark):
     assert {r["width"] for r in out} == {1500 + i for i in range(12)} and all("dpi" in json.loads(r["extras"]) for r in out)
 
 
+def test_flooding_decides_rows():
+    """Without its steps, two weak pairs are taken as they start; with them the sure pair beside them tips the balance."""
+    field = lambda name, hist: {"field": name, "kinds": ["string"], "hist": hist, "usual": {}, "keys": []}
+    old = [field("page_num", {1: 5.0, 9: 4.0}), field("page_width", {2: 5.0})]
+    new = [field("pdf_no", {3: 5.0, 9: 4.0}), field("pdf_width", {2: 5.0})]
+    steps = schema_drift.FLOOD_STEPS
+    try:
+        flooded = {(a, b) for a, b, _ in schema_drift.match_fields(old, new)}
+        schema_drift.FLOOD_STEPS = 0
+        plain = {(a, b) for a, b, _ in schema_drift.match_fields(old, new)}
+    finally:
+        schema_drift.FLOOD_STEPS = steps
+    assert ("page_num", "pdf_no") in flooded and ("page_num", "pdf_no") not in plain
+
+
+def test_pages_are_never_resolutions(spark):
+    """A resolution beside a page under a strange name does not become the page; nothing of a line is lost."""
+    a = [{"target_id": f"t{i}", "page_num": 10 + i, "width": 1500 + i, "dpi": 200} for i in range(12)]
+    b = [{"target_id": f"t{i}", "pg": 10 + i, "w": 1500 + i, "dpi": 300, "odd ['key']": i} for i in range(12)]
+    c = [{"target_id": f"t{i}", "dpi": 150} for i in range(12)]
+    out = {(r["file_name"], r["target_id"]): r for r in schema_drift.unified_exports(exports(spark, [("a", a), ("b", b), ("c", [*c, "no object"])])).collect()}
+    assert all(out[f, f"t{i}"]["page_num"] == 10 + i for f in "ab" for i in range(12)) and all(out["c", f"t{i}"]["page_num"] is None for i in range(12))
+    assert json.loads(out["b", "t3"]["extras"])["odd ['key']"] == "3" and out["c", None]["extras"] is None and len(out) == 37
+
+
 def test_nulls_and_broken_payloads(spark):
     a = [{"x": None, "y": 1}, "not json", {"y": 2}]
     b = [{"x": None, "y": 1.5}, {"y": 2.5}]

@@ -15,12 +15,15 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.runtime import broadcast_if_small, stored
+
 #: Width of the hashed value-class profile of a field.
 PROFILE_WIDTH = 96
 #: Share of the old score kept in each flooding step, convergence bound and step limit.
@@ -31,23 +34,21 @@ MATCH_AT = 0.42
 CHANGE_SCHEMA = "feed string, file_name string, change_kind string, field_name string, new_name string"
 
 
+def distinct_lines(exports: DataFrame) -> DataFrame:
+    """Every delivered line once; rows without a payload are none."""
+    return exports.where("payload IS NOT NULL").select("feed", "file_name", "delivered_at", "line_no", "payload").distinct()
+
+
 def file_fields(exports: DataFrame) -> DataFrame:
-    """(feed, file_name, delivered_at, target line, field, kind, text) for every key of every distinct line."""
-    lines = (
-        exports.select("feed", "file_name", "delivered_at", "line_no", "payload")
-        .distinct()
-        .withColumn("_v", F.expr("try_parse_json(payload)"))
-    )
-    # Keys by a map of raw JSON, kinds by the schema each value parses to.
-    keyed = lines.withColumn("_k", F.expr("json_object_keys(payload)")).select(
-        "feed", "file_name", "delivered_at", "line_no", "_v", F.explode("_k").alias("field")
+    """(feed, file_name, delivered_at, line_no, field, kind, text, json) for every key of every distinct line.
+
+    A line is parsed once, into a map of variants; keys of any spelling are kept. Lines that are no object have no field.
+    """
+    keyed = distinct_lines(exports).where(F.expr("json_object_keys(payload) IS NOT NULL")).select(
+        "feed", "file_name", "delivered_at", "line_no", F.explode(F.expr("from_json(payload, 'map<string,variant>')")).alias("field", "_x")
     )
-    plain = F.col("field").rlike(r"^[^'\[\]]+$")
-    value = F.expr("try_variant_get(_v, concat(\"$['\", field, \"']\"), 'variant')")
     return (
-        keyed.where(plain)
-        .withColumn("_x", value)
-        .withColumn("_s", F.expr("schema_of_variant(_x)"))
+        keyed.withColumn("_s", F.expr("schema_of_variant(_x)"))
         .withColumn(
             "kind",
             F.when(F.col("_x").isNull() | (F.col("_s") == "VOID"), F.lit(None))
@@ -298,7 +299,7 @@ def _pair_changes(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def schema_changes(exports: DataFrame) -> DataFrame:
     """Every change between a file and the one its feed delivered before (columns of ``CHANGE_SCHEMA``)."""
-    profiles = field_profiles(file_fields(exports))
+    profiles = stored(field_profiles(stored(file_fields(exports))))
     usual = name_profiles(profiles)
     files = exports.select("feed", "file_name", "delivered_at").groupBy("feed", "file_name").agg(F.min("delivered_at").alias("delivered_at"))
     order = Window.partitionBy("feed").orderBy("delivered_at", "file_name")
@@ -324,10 +325,11 @@ def unified_exports(exports: DataFrame) -> DataFrame:
 
     Field names are assigned to canonical columns by flooding their corpus-wide profiles against those of the
     canonical names; list and object values give their first scalar leaf, percent-like confidences are scaled,
-    integer codes are decoded by the label most often stated for the same target.
+    integer codes are decoded by the label most often stated for the same target. A line that is no JSON object is a
+    row with nothing known; all other names and values of a line are in ``extras``.
     """
-    fields = file_fields(exports)
-    profiles = field_profiles(fields)
+    fields = stored(file_fields(exports))
+    profiles = stored(field_profiles(fields))
     usual = name_profiles(profiles)
     canonical = [c for c in CANONICAL]
     vocabulary = profiles.groupBy("field").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"))
@@ -336,7 +338,7 @@ def unified_exports(exports: DataFrame) -> DataFrame:
     beside = sets.select(F.explode("names").alias("field"), "names").select("field", F.explode("names").alias("other")).distinct().groupBy("field").agg(F.sort_array(F.collect_set("other")).alias("beside"))
     mapped = vocabulary.join(usual, "field", "left").join(beside, "field", "left").groupBy(F.lit(1).alias("one")).applyInPandas(_assign_canonical(canonical), "field string, canonical string")
     wide = (
-        fields.join(F.broadcast(mapped), "field", "left")
+        fields.join(broadcast_if_small(mapped), "field", "left")
         .withColumn("_leaf", F.when(F.col("kind").isin("list", "object"), F.regexp_replace(F.regexp_extract("json", r'[:\[]\s*("[^"]*"|[-0-9.]+|true|false)', 1), '"', "")).otherwise(F.col("text")))
         .groupBy("feed", "file_name", "delivered_at", "line_no")
         .agg(
@@ -344,6 +346,12 @@ def unified_exports(exports: DataFrame) -> DataFrame:
             F.map_from_entries(F.array_sort(F.array_compact(F.collect_list(F.when(F.col("canonical").isNull(), F.struct("field", "json")))))).alias("extras"),
         )
     )
+    # Lines that are no object stay, with nothing known.
+    key = ["feed", "file_name", "delivered_at", "line_no"]
+    lines = distinct_lines(exports).select(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(key)]).distinct()
+    same = reduce(lambda a, i: a & F.col(f"_l{i}").eqNullSafe(F.col(key[i])), range(1, 4), F.col("_l0").eqNullSafe(F.col("feed")))
+    wide = lines.join(wide, same, "left").select(*[F.col(f"_l{i}").alias(c) for i, c in enumerate(key)], *canonical, "extras")
+    wide = stored(wide)
     for c in ("image_scope", "object_type"):
         code = wide.where(F.col(c).rlike("^[0-9]+$")).select("target_id", F.col(c).alias("_code"))
         label = wide.where(~F.col(c).rlike("^[0-9]+$")).groupBy("target_id", F.col(c).alias("_label")).agg(F.count("*").alias("m"))
@@ -351,7 +359,7 @@ def unified_exports(exports: DataFrame) -> DataFrame:
             code.join(label, "target_id").groupBy("_code", "_label").agg(F.sum("m").alias("m"))
             .groupBy("_code").agg(F.max_by("_label", F.struct("m", "_label")).alias("_label"))
         )
-        wide = wide.join(F.broadcast(book), F.col(c) == F.col("_code"), "left").withColumn(c, F.coalesce("_label", c)).drop("_code", "_label")
+        wide = wide.join(broadcast_if_small(book), F.col(c) == F.col("_code"), "left").withColumn(c, F.coalesce("_label", c)).drop("_code", "_label")
     number = F.col("confidence").try_cast("double")
     return wide.select(
         "feed", "file_name", "delivered_at", "line_no", "target_id", "image_scope", "object_type",

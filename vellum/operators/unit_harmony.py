@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.runtime import cut
+from vellum.runtime import cut, stored
 
 #: Millimetres per unit, by the notation of the unit (lower case, no final stop).
 UNIT_MM = {
@@ -159,7 +159,7 @@ def size_records(targets: DataFrame) -> DataFrame:
         F.col("metadata_fields")["dimensions"]["reason"].alias("reason"),
         F.col("base_fields")["caption_text"].alias("caption"),
     )
-    one = rows.where(F.col("value").rlike("[0-9¼½¾⅓⅔⅛⅜⅝⅞]")).groupBy("target_id").agg(F.min(F.struct("value", "reason", "caption", "source", "title")).alias("r")).select("target_id", "r.*")
+    one = rows.where(F.col("value").rlike(f"[0-9{_VULGAR}]")).groupBy("target_id").agg(F.min(F.struct("value", "reason", "caption", "source", "title")).alias("r")).select("target_id", "r.*")
     return one.withColumn("m", _measures("value", "reason", "caption")).where(F.size("m") > 0)
 
 
@@ -222,7 +222,11 @@ def _half_up(x: Column) -> Column:
 
 def found_sizes(targets: DataFrame) -> DataFrame:
     """(target_id, height_mm, width_mm) of every target with a size whose unit its own record names."""
-    records = size_records(targets)
+    return stated_sizes(stored(size_records(targets)))
+
+
+def stated_sizes(records: DataFrame) -> DataFrame:
+    """``found_sizes`` of records that are parsed already."""
     scales = notation_scales(records)
     first = F.col("m")[0]
     caption = F.expr("try_element_at(filter(m, x -> x.role = 'caption'), 1)")
@@ -272,8 +276,8 @@ def harmonised_sizes(targets: DataFrame) -> DataFrame:
     Sources are linked over the titles they share. A source that is resolved gives sizes to its titles, which may link
     further sources; this goes on until no source is added.
     """
-    records = size_records(targets)
-    stated = found_sizes(targets)
+    records = stored(size_records(targets))
+    stated = stored(stated_sizes(records))
     named = "title IS NOT NULL AND title <> ''"
     known = records.join(stated, "target_id").where(named).where("height_mm > 0").select("title", F.col("height_mm").cast("double").alias("size"))
     bare = cut(
