@@ -1,15 +1,19 @@
 """Operators, functions, sources and streams of the core, on fixtures; every registered query runs."""
 
+import decimal
 import importlib
 import json
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry, lenient_json, measures
 from vellum.functions import text as T
 from vellum.operators import boxes, chunking, relational, retrieval, sampling
-from vellum.plans import pipeline_queries, relational_queries, scalar_queries
+from tests.hostile import empty_copy
+from vellum.plans import derived_queries, evaluation_queries, matching_queries, pipeline_queries, relational_queries, sampling_queries, scalar_queries, sequence_queries
 from vellum.sources import files
 from vellum.streaming import events
 
@@ -153,10 +157,50 @@ def test_streams(spark, data, tmp_path):
     assert sum(seen) == src.select("user_id").distinct().count()
 
 
-@pytest.mark.parametrize("module", [scalar_queries, relational_queries, pipeline_queries])
-def test_every_query_runs(spark, data, module):
+CORE = {n: (call, module.oracle_sql().get(n)) for module in (scalar_queries, relational_queries, pipeline_queries, evaluation_queries, matching_queries, sampling_queries, sequence_queries, derived_queries) for n, call in module.queries().items()}
+
+
+def _plain(x):
+    if isinstance(x, (float, decimal.Decimal)):
+        return f"{float(x):.6f}".rstrip("0").rstrip(".")
+    return "[" + ",".join(map(_plain, x)) + "]" if isinstance(x, (list, tuple)) else str(x)
+
+
+@pytest.fixture(scope="session")
+def duck(data):
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    for path in Path(data).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(CORE))
+def test_every_query_runs_and_equals_its_sql(spark, data, duck, name):
+    call, sql = CORE[name]
+    df = call(spark, data)
+    columns = sorted(df.columns)
+    got = sorted("|".join(_plain(r[c]) for c in columns) for r in df.collect())
+    assert got
+    if sql:
+        found = duck.sql(sql)
+        at = [found.columns.index(c) for c in columns]
+        assert len(at) == len(found.columns) and got == sorted("|".join(_plain(r[i]) for i in at) for r in found.fetchall())
+
+
+@pytest.fixture(scope="session")
+def empty(spark, data, tmp_path_factory):
+    return empty_copy(spark, data, tmp_path_factory.mktemp("empty"))
+
+
+#: Whole-table summaries give one row, or a row per relation, of zeros.
+SUMMARIES = {"d12_group_summary": 1, "d23_hit_rates": 1, "d24_rank_pollution": 1, "d25_box_rates": 1, "d28_delta": 1, "d34_manifest": 4, "d14_claim_scores": 1, "d17_label_report": 1, "c15_retrieval": 0}
+
+
+@pytest.mark.parametrize("module", [evaluation_queries, matching_queries, sampling_queries, sequence_queries, derived_queries, relational_queries])
+def test_empty_tables(spark, empty, module):
     for name, call in module.queries().items():
-        assert call(spark, data).columns, name
+        assert call(spark, empty).count() == SUMMARIES.get(name, 0), name
 
 
 def test_entry(spark):
