@@ -136,13 +136,21 @@ def _part_score(a: str, b: str) -> float:
     return 0.0
 
 
+#: Scores of names already compared by a worker; started anew when there are many.
+_COMPARED: dict[tuple[str, str], float] = {}
+
+
 def name_score(a: str, b: str) -> float:
     """How well the parts of two field names pair up, abbreviations included."""
-    x, y = _parts(a), _parts(b)
-    if "".join(x) == "".join(y):
-        return 1.0
-    best = sum(max(_part_score(p, q) for q in y) for p in x) + sum(max(_part_score(p, q) for p in x) for q in y)
-    return best / (len(x) + len(y))
+    score = _COMPARED.get((a, b))
+    if score is None:
+        x, y = _parts(a), _parts(b)
+        best = sum(max(_part_score(p, q) for q in y) for p in x) + sum(max(_part_score(p, q) for p in x) for q in y)
+        score = 1.0 if "".join(x) == "".join(y) else best / (len(x) + len(y))
+        if len(_COMPARED) > 200_000:
+            _COMPARED.clear()
+        _COMPARED[a, b] = score
+    return score
 
 
 def _vector(cells) -> dict[int, float]:
@@ -165,18 +173,21 @@ def _incidence(fields: list[dict], nodes) -> tuple[list, np.ndarray]:
     """(neighbour nodes, fields x nodes incidence)."""
     names = sorted({n for f in fields for n in nodes(f)})
     at = {n: i for i, n in enumerate(names)}
-    out = np.zeros((len(fields), len(names)), dtype=bool)
+    out = np.zeros((len(fields), len(names)))
     for i, f in enumerate(fields):
-        out[i, [at[n] for n in nodes(f)]] = True
+        out[i, [at[n] for n in nodes(f)]] = 1.0
     return names, out
 
 
 def _both_ways(a: np.ndarray, b: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """How well the neighbours of every field pair pair up: the mean of each neighbour's best partner."""
-    best_b = np.where(b[None, :, :], pair[:, None, :], 0.0).max(axis=2, initial=0.0)  # node of a x field of b
-    best_a = np.where(a[:, :, None], pair[None, :, :], 0.0).max(axis=1, initial=0.0)  # field of a x node of b
+    if not pair.size:
+        return np.zeros((a.shape[0], b.shape[0]))
+    # Scores are not negative, so a product with the incidence masks what is no neighbour.
+    best_b = (b[None, :, :] * pair[:, None, :]).max(axis=2)  # node of a x field of b
+    best_a = (a[:, :, None] * pair[None, :, :]).max(axis=1)  # field of a x node of b
     n = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :]
-    return (a.astype(float) @ best_b + best_a @ b.T.astype(float)) / np.maximum(n, 1)
+    return (a @ best_b + best_a @ b.T) / np.maximum(n, 1)
 
 
 def flood(old: list[dict], new: list[dict], rivals: bool = True) -> dict[tuple[str, str], float]:
@@ -212,8 +223,7 @@ def flood(old: list[dict], new: list[dict], rivals: bool = True) -> dict[tuple[s
                     m[i, at[h]] = n
             sides.append(np.sqrt(m / np.maximum(m.sum(axis=1, keepdims=True), 1e-12)))
         a, b = sides
-        first = np.eye(len(classes))
-        weights.append((a, b, first))
+        weights.append((a, b, np.eye(len(classes)), (a.T > 0).astype(float), (b.T > 0).astype(float)))
 
     names = np.array([[name_score(a["field"], b["field"]) for b in new] for a in old])
     kinds = np.array([[1.0 if set(a["kinds"]) & set(b["kinds"]) else 0.0 for b in new] for a in old])
@@ -227,9 +237,9 @@ def flood(old: list[dict], new: list[dict], rivals: bool = True) -> dict[tuple[s
         for name, a, b, first in graphs:
             near[name] = _both_ways(a, b, np.maximum(first, (1 - FLOOD_KEEP) * _both_ways(a.T, b.T, score)))
         flooded = []
-        for a, b, first in weights:
+        for a, b, first, shared_a, shared_b in weights:
             # Equal classes give the cosine; what they leave over goes to the scores that unlike class pairs received.
-            pair = np.where(first > 0, 0.0, (1 - FLOOD_KEEP) * _both_ways(a.T > 0, b.T > 0, score))
+            pair = np.where(first > 0, 0.0, (1 - FLOOD_KEEP) * _both_ways(shared_a, shared_b, score))
             plain = a @ b.T
             spare = (1 - plain).clip(0, 1)
             other = (a * a) @ pair @ (b * b).T
