@@ -65,6 +65,12 @@ def file_fields(exports: DataFrame) -> DataFrame:
     )
 
 
+def fields_of_files(exports: DataFrame) -> DataFrame:
+    """(feed, file_name, field_name, lines, kinds): what every file holds, before anything is matched."""
+    kinds = F.array_join(F.array_sort(F.collect_set("kind")), ",")
+    return file_fields(exports).groupBy("feed", "file_name", F.col("field").alias("field_name")).agg(F.count("*").alias("lines"), kinds.alias("kinds"))
+
+
 def _classes():
     """The value classes of one value: its scalar leaves, numbers by magnitude and step, long strings by shape."""
     leaves = F.when(

@@ -13,6 +13,7 @@ from vellum.runtime import table
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": lambda s, d: schema_drift.schema_changes(table(s, d, "target_exports")),
+        "p2_fields": lambda s, d: schema_drift.fields_of_files(table(s, d, "target_exports")),
         "p2_table": lambda s, d: schema_drift.unified_exports(table(s, d, "target_exports")),
         "p3_found": lambda s, d: unit_harmony.found_sizes(table(s, d, "figure_targets")),
         "p3_table": lambda s, d: unit_harmony.harmonised_sizes(table(s, d, "figure_targets")),
@@ -20,4 +21,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what SQL can say: the fields and kinds the change report starts from.
+
+    The matching itself and the parsing of sizes have none; they are tested on fixtures, round trips and hidden cases.
+    """
+    kind = "CASE json_type(payload, '$.\"' || k || '\"') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'UBIGINT' THEN 'whole' WHEN 'BIGINT' THEN 'whole' WHEN 'DOUBLE' THEN 'fraction' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' END"
+    return {
+        "p2_fields": f"""
+WITH l AS (SELECT DISTINCT feed, file_name, line_no, payload FROM target_exports WHERE payload IS NOT NULL), k AS (SELECT *, unnest(json_keys(payload)) AS k FROM l)
+SELECT feed, file_name, k AS field_name, count(*) AS lines, coalesce(array_to_string(list_sort(list(DISTINCT {kind})), ','), '') AS kinds FROM k GROUP BY 1, 2, 3""",
+    }
