@@ -69,6 +69,11 @@ def label_language(label: Column) -> Column:
     return F.when(whole.isin(*UNKNOWN_LABELS) | base.isin(*UNKNOWN_LABELS), F.lit("")).otherwise(F.coalesce(F.try_element_at(book, base), whole))
 
 
+def stated_languages(documents: DataFrame) -> DataFrame:
+    """(doc_id, label): the language every document says it is in, whatever the notation; '' where it says nothing."""
+    return documents.where("doc_id IS NOT NULL").select("doc_id", label_language(F.col("lang")).alias("label")).distinct()
+
+
 def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 

@@ -23,16 +23,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_rates": lambda s, d: truncation.cut_rates(table(s, d, "figure_targets"), table(s, d, "support_candidates")),
         "p7_found": lambda s, d: split_overlap.found_overlaps(table(s, d, "figure_targets"), table(s, d, "page_candidates")),
         "p7_report": lambda s, d: split_overlap.overlap_report(table(s, d, "figure_targets"), table(s, d, "page_candidates")),
+        "p7_boxes": lambda s, d: split_overlap.box_overlaps(table(s, d, "figure_targets"), table(s, d, "page_candidates")).distinct(),
         "p7_classes": lambda s, d: split_overlap.overlap_classes(table(s, d, "figure_targets")),
         "p8_containers": lambda s, d: packing.packed(table(s, d, "documents")),
         "p8_report": lambda s, d: packing.packing_report(packing.packed(table(s, d, "documents"))),
         "p9_found": lambda s, d: leakage.found_leaks(table(s, d, "documents"), table(s, d, "eval_items")),
         "p10_found": lambda s, d: language_crf.found_languages(table(s, d, "documents")),
         "p10_languages": lambda s, d: language_crf.document_languages(table(s, d, "documents")),
+        "p10_labels": lambda s, d: language_crf.stated_languages(table(s, d, "documents")),
         "p10_segments": lambda s, d: language_crf.mixed_segments(table(s, d, "documents")),
     }
 
 
+def _notations() -> str:
+    names = " ".join(f"WHEN b IN ({', '.join(repr(n) for n in v.split())}) THEN '{k}'" for k, v in language_crf.NOTATIONS.items())
+    unknown = ", ".join(repr(u) for u in language_crf.UNKNOWN_LABELS)
+    return f"CASE WHEN w IN ({unknown}) OR b IN ({unknown}) THEN '' {names} ELSE w END"
+
+
+_BOX = "coalesce(len({b}), 0) = 4 AND {b}[3] > {b}[1] AND {b}[4] > {b}[2]"
+_INTER = "CAST(greatest(0, least(x.a[3], y.a[3]) - greatest(x.a[1], y.a[1])) AS DOUBLE) * greatest(0, least(x.a[4], y.a[4]) - greatest(x.a[2], y.a[2]))"
 _WORDS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
 
 
@@ -50,6 +60,13 @@ c(n, m) AS (SELECT a, a FROM u UNION SELECT c.n, u.b FROM c JOIN u ON c.m = u.a)
 t AS (SELECT r.target_id, r.split, coalesce(g.root, 'f:' || f, 'd:' || d, target_id) AS root FROM r LEFT JOIN g ON g.n = coalesce('f:' || r.f, 'd:' || r.d)),
 k AS (SELECT root, min(target_id) AS group_key FROM t GROUP BY root HAVING count(DISTINCT split) > 1)
 SELECT DISTINCT group_key, target_id FROM t JOIN k USING (root)""",
+        # All regions of a page against each other.
+        "p7_boxes": f"""
+WITH s AS (SELECT DISTINCT target_id, CASE WHEN split = 'train' THEN 'train' ELSE 'eval' END AS side FROM figure_targets WHERE target_id IS NOT NULL AND split IN ('train', 'val', 'test')),
+b AS (SELECT DISTINCT page_id, target_id, side, image_bbox AS a FROM page_candidates JOIN s USING (target_id) WHERE page_id IS NOT NULL AND {_BOX.format(b='image_bbox')})
+SELECT DISTINCT x.target_id AS eval_id, y.target_id AS train_id FROM b x JOIN b y ON x.page_id = y.page_id AND x.side = 'eval' AND y.side = 'train'
+WHERE {_INTER} >= 0.8 * (CAST(x.a[3] - x.a[1] AS DOUBLE) * (x.a[4] - x.a[2]) + CAST(y.a[3] - y.a[1] AS DOUBLE) * (y.a[4] - y.a[2]) - {_INTER}) AND {_INTER} > 0""",
+        "p10_labels": f"SELECT DISTINCT doc_id, {_notations()} AS label FROM (SELECT doc_id, lower(trim(coalesce(lang, ''))) AS w, regexp_extract(lower(trim(coalesce(lang, ''))), '^([^-_ (]*)', 1) AS b FROM documents WHERE doc_id IS NOT NULL)",
         # Every run of ten words of either side.
         "p9_found": f"""
 WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format(c='text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT item_id, {_WORDS.format(c='item_text')} AS w FROM eval_items WHERE item_text IS NOT NULL),
