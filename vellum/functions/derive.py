@@ -170,3 +170,36 @@ def slim_json(text: Column) -> Column:
         out = F.regexp_replace(F.regexp_replace(out, rf",\s*{member}(?=\s*[,}}])", ""), rf"\{{\s*{member}\s*(?:,\s*|(?=\}}))", "{")
         out = F.regexp_replace(out, rf"\{{\s*{member}\s*(?:,\s*|(?=\}}))", "{")
     return out
+
+
+#: What art captions speak of, what is no landscape, a caption that is only a number, and a running head.
+ART = r"(?i)山水|溪山|寒林|江山|山图|山圖|山居|山楼|山樓|秋山|春山|夏山|雪景|雪溪|洞庭|罗浮|羅浮|林泉|峰|岩|巖|崖|石|泉|松|皴|米点|米點|青绿|青綠|浅绛|淺絳|手卷|长卷|長卷|卷|册|冊|页|頁|轴|軸|图|圖|painting|landscape|mountain|river|handscroll|album|hanging\s+scroll"
+NO_LANDSCAPE = r"(?i)坐像|肖像|圣贤图|聖賢圖|帝后|人物肖像|画虎|畫虎|虎圖|书法|書法|墨迹|墨跡|calligraphy|portrait"
+NUMBER_ONLY = r"(?i)^(?:〔?\[?【?(?:图|圖)|Fig\.?|Figure)\s*[一二三四五六七八九十百0-9IVXivx:：.—_ -]+】?\.?$"
+CAPTION_START = r"(?i)^(〔?\[?【?图|〔?\[?【?圖|Fig\.?|Figure|Plate)"
+RUNNING_HEAD = r"(?i)^(?:[0-9]+\s+)?(?:SOUTHERN\s+SUNG\s+PAINTING|YUAN\s+LITERATI\s+PAINTING|MAINLAND\s+CHINESE\s+PAINTING)\s*[0-9]*[I1]?$"
+#: Signs a caption does not start with, and bonuses per label.
+INNER_START = "，。、；：,.;:”’\"'"
+QUALITY_BONUS = {"explicit_caption": 2.0, "title_caption": 1.4, "short_art_caption": 0.8, "plain_body_text": -4.0}
+
+
+def caption_quality(text: Column) -> Column:
+    """The label of a caption: explicit, title, short art caption, or plain text; null counts as plain text."""
+    t = F.coalesce(text, F.lit(""))
+    spaced, bare = T.normal_space(t), F.regexp_replace(t, r"(?U)\s+", "")
+    trimmed = F.regexp_replace(t, r"^\s+|\s+$", "")
+    plain = (spaced.rlike(NUMBER_ONLY) & (F.length(bare) <= 24)) | spaced.rlike(RUNNING_HEAD) | trimmed.rlike(r"^[a-z]{1,4}\s+") | trimmed.rlike(f"^[{INNER_START}]") | bare.rlike("^(图》|圖》|》)")
+    return (
+        F.when(plain, "plain_body_text").when(bare.rlike(CAPTION_START), "explicit_caption").when(t.rlike("《[^》]{1,40}》") & (F.length(bare) <= 180), "title_caption")
+        .when((F.length(bare) <= 120) & ~bare.rlike(NO_LANDSCAPE) & bare.rlike(ART), "short_art_caption").otherwise("plain_body_text")
+    )
+
+
+def caption_quality_score(embedded: Column, text: Column, score: Column, area: Column, text_share: Column) -> Column:
+    """How good a captioned region is; fixed weights; missing numbers count 0."""
+    bonus = F.create_map(*[F.lit(x) for kv in QUALITY_BONUS.items() for x in kv])
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return (
+        F.when(embedded, 3.0).otherwise(0.6) + F.try_element_at(bonus, caption_quality(text)) + F.when(F.coalesce(text, F.lit("")).rlike(ART), 0.8).otherwise(0.0)
+        + F.least(F.greatest(zero(score) / 2.0, F.lit(-2.0)), F.lit(4.0)) + F.least(F.lit(1.0), zero(area) / 0.16) - 2.0 * zero(text_share)
+    )

@@ -146,6 +146,22 @@ def audit_sample(rows: DataFrame, bucket: str, key: str, urgent: Column, size: i
     return first.unionByName(second).unionByName(third)
 
 
+def diverse_take(rows: DataFrame, key: str, source: str, same: str, quota: int, seed: int = 7) -> DataFrame:
+    """(key): up to ``quota`` rows in seeded order, the first half from different sources, none with the ``same`` of another.
+
+    ``same`` lies within one source. Behind the last row of the first half any row may follow, then the rows before it.
+    """
+    base = rows.select(key, source, same).withColumn("_at", F.struct(digest(key, seed).alias("a"), F.col(key).alias("b")))
+    half = max(1, quota // 2)
+    heads = cut(base.groupBy(source).agg(F.min("_at").alias("_at")).orderBy("_at").limit(half).select("_at"))
+    last = heads.agg(F.count("*").alias("n"), F.max("_at").alias("m")).first()
+    behind = F.col("_at") > _literal(last["m"], base.schema["_at"].dataType) if last["n"] == half else F.lit(False)
+    phased = base.join(F.broadcast(heads.withColumn("_head", F.lit(True))), "_at", "left").withColumn("_phase", F.when(F.col("_head"), 0).when(behind, 1).otherwise(2))
+    # The first row of every ``same``; one aggregate, no ranking.
+    once = phased.groupBy(same).agg(F.min(F.struct("_phase", "_at")).alias("m"))
+    return once.orderBy("m").limit(quota).select(F.col("m._at.b").alias(key))
+
+
 def capped_twice(rows: DataFrame, inner: str, outer: str, order: Sequence[Column], inner_cap: int, outer_cap: int) -> DataFrame:
     """At most ``inner_cap`` rows of every inner group, then ``outer_cap`` of every outer one (the caps are the feature)."""
     kept = rows.withColumn("_i", F.row_number().over(Window.partitionBy(inner).orderBy(*order))).where(F.col("_i") <= inner_cap)

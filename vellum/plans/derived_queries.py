@@ -33,6 +33,20 @@ def f3_important_terms(t):
     return _captions(t).where("caption IS NOT NULL").select("target_id", F.array_join(D.important_terms(F.col("caption")), ",").alias("terms"))
 
 
+_Q = lambda x: x.replace("'", "''")
+_QUALITY = f"""CASE WHEN (regexp_matches(sp, '{_Q(D.NUMBER_ONLY)}') AND length(ba) <= 24) OR regexp_matches(sp, '{D.RUNNING_HEAD}') OR regexp_matches(tr, '^[a-z]{{1,4}}\\s+') OR regexp_matches(tr, '^[{_Q(D.INNER_START)}]') OR regexp_matches(ba, '^(图》|圖》|》)') THEN 'plain_body_text' WHEN regexp_matches(ba, '{D.CAPTION_START}') THEN 'explicit_caption'
+ WHEN regexp_matches(x, '《[^》]{{1,40}}》') AND length(ba) <= 180 THEN 'title_caption' WHEN length(ba) <= 120 AND NOT regexp_matches(ba, '{D.NO_LANDSCAPE}') AND regexp_matches(ba, '{D.ART}') THEN 'short_art_caption' ELSE 'plain_body_text' END"""
+
+
+@BOOK.query("f19_caption_quality", f"""
+WITH k AS (SELECT candidate_id, target_id, caption_score, area_ratio, coalesce(caption_text, '') AS x, {_SPACE.format(x="coalesce(caption_text, '')")} AS sp, regexp_replace(coalesce(caption_text, ''), '\\s+', '', 'g') AS ba, trim(coalesce(caption_text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS tr FROM {CAND}), q AS (SELECT *, {_QUALITY} AS label FROM k)
+SELECT candidate_id, label, round(1e-7 + CASE WHEN target_id IS NOT NULL THEN 3.0 ELSE 0.6 END + CASE label WHEN 'explicit_caption' THEN 2.0 WHEN 'title_caption' THEN 1.4 WHEN 'short_art_caption' THEN 0.8 ELSE -4.0 END + CASE WHEN regexp_matches(x, '{D.ART}') THEN 0.8 ELSE 0.0 END
+ + least(greatest(coalesce(caption_score, 0.0) / 2.0, -2.0), 4.0) + least(1.0, coalesce(area_ratio, 0.0) / 0.16), 4) AS score FROM q""")
+def f19_caption_quality(t):
+    c = F.col("caption_text")
+    return _cand(t).select("candidate_id", D.caption_quality(c).alias("label"), F.round(D.caption_quality_score(F.col("target_id").isNotNull(), c, F.col("caption_score"), F.col("area_ratio"), F.lit(None).cast("double")) + 1e-7, 4).alias("score"))  # halves up in both engines
+
+
 _TEXTS = "(SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)"
 
 

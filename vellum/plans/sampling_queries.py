@@ -121,6 +121,15 @@ def sample_audit(t):
     return splitting.audit_sample(s, "candidate_kind", "pair_id", F.col("priority") >= 8, 120)
 
 
+@BOOK.query("sample_diverse", f"""
+WITH b AS (SELECT pair_id, source_file AS s, source_file || '|' || field AS k, struct_pack(a := {_D.format(k='pair_id')}, b := pair_id) AS o FROM (SELECT DISTINCT pair_id, source_file, field FROM support_candidates WHERE source_file IS NOT NULL AND field IS NOT NULL)),
+f AS MATERIALIZED (SELECT min(o) AS o FROM b GROUP BY s ORDER BY 1 LIMIT 8), p AS (SELECT CASE WHEN count(*) = 8 THEN max(o) END AS m FROM f), x AS (SELECT b.*, CASE WHEN o IN (SELECT o FROM f) THEN 0 WHEN m IS NOT NULL AND o > m THEN 1 ELSE 2 END AS ph FROM b, p),
+d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ph, o) AS n FROM x) SELECT pair_id FROM d WHERE n = 1 ORDER BY ph, o LIMIT 16""")
+def sample_diverse(t):
+    s = t.support_candidates.where("source_file IS NOT NULL AND field IS NOT NULL").select("pair_id", "source_file", F.concat_ws("|", "source_file", "field").alias("same")).distinct()
+    return splitting.diverse_take(s, "pair_id", "source_file", "same", 16)
+
+
 @BOOK.query("sample_capped_pages", f"WITH a AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY score DESC NULLS LAST, page_id) AS i FROM {PAGE}), b AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC NULLS LAST, page_id) AS o FROM a WHERE i <= 3) SELECT page_id, category FROM b WHERE o <= 12")
 def sample_capped_pages(t):
     return splitting.capped_twice(_page(t), "source_file", "category", [F.desc_nulls_last("score"), F.col("page_id")], 3, 12).select("page_id", "category")
