@@ -243,13 +243,15 @@ def test_context_keys_against_slices(texts):
 
 
 def test_inner_counts_against_brute_force(spark):
+    """Every end context of the wanted texts is counted exactly; longer contexts are only tried where shorter ones are wanted."""
     rng = random.Random(8)
     texts = ["".join(rng.choice("ab c.") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    keys = lambda t: truncation.end_keys([t], ["en"], 1, truncation._char_codes, truncation.CHAR_ORDERS)[0]
     forms = spark.createDataFrame([("en", t, t, 1 + i % 3) for i, t in enumerate(texts)], "lang string, chars string, classes string, weight long")
-    ends = [k for t in texts[:30] for k in truncation.end_keys([t], ["en"], 1, truncation._char_codes, (1, 3))[0]]
-    got = {r["k"]: r["mid"] for r in truncation.inner_counts(forms, spark.createDataFrame([(k,) for k in set(ends)], "k long")).collect()}
+    wanted = spark.createDataFrame([(k,) for k in {k for t in texts[:30] for k in keys(t)}], "k long")
+    got = {r["k"]: r["mid"] for r in truncation.inner_counts(forms, wanted).collect()}
     for t in texts[:30]:
-        for n, k in zip((1, 3), truncation.end_keys([t], ["en"], 1, truncation._char_codes, (1, 3))[0]):
+        for n, k in zip(truncation.CHAR_ORDERS, keys(t)):
             want = sum((1 + i % 3) * sum(x[p - n : p] == t[-n:] for p in range(n, len(x))) for i, x in enumerate(texts))
             assert got.get(k, 0) == want
 
