@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.runtime import stored
 
 #: Characters of a chunk, of its overlap, units of its overlap, and of a paragraph that is one piece.
 CHUNK_CHARS, OVERLAP_CHARS, OVERLAP_UNITS, LONG_PARAGRAPH = 900, 160, 2, 1200
@@ -49,7 +50,8 @@ def _spans(n: str, size: int) -> str:
 def chunked(rows: DataFrame, key: str, text: str, size: int = CHUNK_CHARS) -> DataFrame:
     """(key, chunk_no, chunk) of every text."""
     cut = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), units(F.col(text), size).alias("_u")).where(F.size("_u") > 0)
-    measured = cut.withColumn("_n", F.transform("_u", F.length))
+    # Written once: the fold reads units and lengths many times.
+    measured = stored(cut.withColumn("_n", F.transform("_u", F.length)))
     spans = F.when(F.size("_n") > 1, F.expr(_spans("_n", size))).otherwise(F.expr("array(named_struct('a', 1, 'b', 1))"))
     placed = measured.withColumn("_s", spans).select("_key", "_u", F.posexplode("_s").alias("chunk_no", "_z"))
     return placed.select(F.col("_key").alias(key), "chunk_no", F.array_join(F.expr("slice(_u, _z.a, _z.b - _z.a + 1)"), "\n").alias("chunk"))
