@@ -228,6 +228,21 @@ def test_field_limit(spark):
     assert {r["record_id"] for r in out.where("was_cut").collect()} == {f"l{i}" for i in range(9)}
 
 
+def test_endings_without_a_rest_of_doubt(spark):
+    """An ending that thousands of texts have and none goes on from: its rate is 1 to the last bit, its odds are a number."""
+    none = spark.createDataFrame([], "pair_id string, source_file string, fragment_text string")
+    rows = [(f"t{i}", None, f"f{i}.pdf", None, "Pines above the river, ink on silk¶") for i in range(3000)] + [("x", None, "g.pdf", None, "Pines above the ri")]
+    out = {r["record_id"]: r for r in truncation.judged_texts(figures(spark, rows), none).select("record_id", "char_odds", "class_odds", "was_cut").collect()}
+    assert out["t0"]["char_odds"] > 30 and out["x"]["char_odds"] < 0 and {k for k, r in out.items() if r["was_cut"]} == {"x"}
+
+
+def test_nothing_left_of_a_text(spark):
+    """A text that is only an ellipsis or a page line has no context: it is judged without odds."""
+    none = spark.createDataFrame([], "pair_id string, source_file string, fragment_text string")
+    out = truncation.judged_texts(figures(spark, [("a", None, "f.pdf", None, "..."), ("b", None, "f.pdf", None, "\n42"), ("c", None, "f.pdf", None, "A lake")]), none)
+    assert {(r["record_id"], r["char_odds"] is None) for r in out.collect()} == {("a", True), ("b", True), ("c", False)}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text("abc", max_size=9), max_size=6))
 def test_context_keys_against_slices(texts):
