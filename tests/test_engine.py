@@ -108,6 +108,17 @@ def test_suppression_keeps_best(spark):
     assert {r["k"] for r in boxes.suppress_overlaps(df, "page", "k", "box", "s").collect()} == {"b", "c"}
 
 
+def test_anchors_are_searched_once_a_text(spark):
+    """Pairs of query and document carry no text: anchors are found before the join, and equal the search of every pair."""
+    docs = spark.createDataFrame([(1, "ink on Silk Road 215", "a", 0.0, 4, 4, "x"), (2, "ink roadside", "b", 0.0, None, None, "figure_reference_text"), (3, None, "a", 0.0, 1, 1, "x")], "doc_id int, text string, source string, noise_score double, page_start int, page_end int, clean_type string")
+    asks = spark.createDataFrame([(9, "ink", "a", 4, ["215", "999"], ["silk ROAD", "roadside", "ink"], ["Silk", None]), (8, "ink", "c", None, None, None, None)], "query_id int, query_text string, source string, page int, labels array<string>, terms array<string>, entities array<string>")
+    out = retrieval.search(asks, docs, bonus=True)
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in out.collect()} == {(9, 1): 0.977214, (9, 2): 0.767107, (8, 1): 0.447214, (8, 2): 0.727107}
+    assert "_words" not in out.columns and "_found" in retrieval.with_found_anchors(docs, asks).columns
+    found = {r["doc_id"]: r["_found"] for r in retrieval.with_found_anchors(docs, asks).collect()}
+    assert {k: sorted(v) for k, v in found.items()} == {1: ["215", "ink", "silk", "silkroad"], 2: ["ink", "roadside"], 3: []}
+
+
 def test_search_against_brute_force(spark):
     docs = [(1, "red fox fox", "a", 0.0), (2, "red dog", "b", 0.5), (3, "", "a", 0.0), (4, None, "a", 0.0)]
     got = retrieval.search(spark.createDataFrame([(9, "red fox", "a")], "query_id int, query_text string, source string"), spark.createDataFrame(docs, "doc_id int, text string, source string, noise_score double")).collect()
