@@ -1,6 +1,7 @@
 """Kernels and operators of the training-data problems against brute force, round trips and held-out truth."""
 
 import collections
+import itertools
 import random
 import re
 
@@ -325,6 +326,60 @@ def test_box_join_against_brute_force(spark):
     assert {tuple(r) for r in split_overlap.box_overlaps(figures(spark, rows), df).collect()} == want and want
 
 
+def test_overlap_candidates_are_not_stored(spark, monkeypatch):
+    # Parts in another order hold the same pairs of characters and an equal head, but are far apart by edits.
+    rng = random.Random(5)
+    head, parts = "".join(rng.choice("abcdefghij") for _ in range(20)), ["".join(rng.choice("klmnopqrstuv") for _ in range(14)) for _ in range(5)]
+    orders = rng.sample([*itertools.permutations(parts)], 80)
+    rows = [(f"{s}{i}", None, "f", split, head + "".join(o)) for s, split, own in (("a", "train", orders[:40]), ("b", "val", orders[40:])) for i, o in enumerate(own)] + [("c", None, "f", "test", head + "".join(orders[0]) + "z")]
+    counts, real = [], split_overlap.stored
+
+    def counted(df):
+        out = real(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(split_overlap, "stored", counted)
+    got = {(r["eval_id"], r["train_id"]) for r in split_overlap.caption_overlaps(figures(spark, rows)).collect()}
+    assert ("c", "a0") in got and max(counts) <= len(rows)
+
+
+@pytest.mark.parametrize(("block", "most", "crowded"), [(3, 2, 0), (10**6, 10**6, 10**6)])
+def test_found_overlaps_against_brute_force(spark, monkeypatch, block, most, crowded):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(30, 60))) for _ in range(6)]
+    rows = [(f"t{i}", None, "f", ["train", "val", "test"][i % 3], base[i % 6 if i % 5 else 0][: rng.randrange(50, 60)] + "xy"[: i % 3]) for i in range(40)]
+    # Targets of two texts, one of them on both sides, and repeated rows.
+    rows += [("t1", None, "f", "val", base[3]), ("t2", None, "f", "train", base[0]), ("t3", None, "f", "train", base[4]), ("t5", None, "f", "val", None), *rows[:5]]
+    boxes = [(f"p{i % 3}", f"t{i % 40}", [j := rng.randrange(6), j, j + 40, j + 40 + i % 5]) for i in range(90)] + [("p9", "t7", None)]
+    monkeypatch.setattr(split_overlap, "LIST", most)
+    monkeypatch.setattr(split_overlap, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(split_overlap, "TASK_ROWS", 5)
+    real = split_overlap.box_overlaps
+    monkeypatch.setattr(split_overlap, "box_overlaps", lambda t, c: real(t, c, crowded))
+
+    def same(m, n):
+        i = max(0, min(m[2], n[2]) - max(m[0], n[0])) * max(0, min(m[3], n[3]) - max(m[1], n[1]))
+        return i >= 0.8 * ((m[2] - m[0]) * (m[3] - m[1]) + (n[2] - n[0]) * (n[3] - n[1]) - i)
+
+    evals, trains = ([(r[0], r[4]) for r in rows if (r[3] == "train") is side] for side in (False, True))
+    want = {tuple(sorted((a, b))) for a, x in evals for b, y in trains if a != b and x and y and plain_distance(x, y) * 100 <= 12 * max(len(x), len(y))}
+    by_caption = len(want)
+    sides = [{a for a, _ in part} for part in (evals, trains)]
+    want |= {tuple(sorted((a, b))) for p, a, m in boxes for q, b, n in boxes if p == q and a != b and a in sides[0] and b in sides[1] and m and n and same(m, n)}
+    df = spark.createDataFrame(boxes, "page_id string, target_id string, image_bbox array<int>")
+    got = [tuple(r) for r in split_overlap.found_overlaps(figures(spark, rows), df).collect()]
+    assert sorted(got) == sorted(want) and len(want) > by_caption > 40
+
+
+def test_boxes_of_quiet_pages_are_moved_once(spark):
+    # No copies of a region for the cells around it: they made up most of what the query moved.
+    rows = [(f"t{i}", None, "f", ["train", "val"][i % 2], None) for i in range(8)]
+    df = spark.createDataFrame([(f"p{i // 4}", f"t{i}", [0, 0, 50, 50 + i]) for i in range(8)], "page_id string, target_id string, image_bbox array<int>")
+    out = split_overlap.box_overlaps(figures(spark, rows), df)
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 8
+
+
 # -- 8 ---------------------------------------------------------------------------------------------------------------
 
 @settings(max_examples=60, deadline=None)
